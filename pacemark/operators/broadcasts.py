@@ -1,0 +1,17 @@
+"""Broadcast hints only for sides whose size was looked at."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` narrow rows, else as it is.
+
+    The count stops early; beyond the bound the join falls back to a shuffle, where
+    adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
