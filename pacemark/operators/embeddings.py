@@ -43,9 +43,11 @@ def complexity_scores(vectors: DataFrame, column: str, center: DataFrame | None
     single short array and enters as a scalar.
     """
     center = center if center is not None else centroid(vectors, column)
-    rows = vectors.withColumn("_center", center.select("centroid").scalar())
-    norm = F.sqrt(_dot(F.col(column), F.col(column))) * F.sqrt(_dot(F.col("_center"), F.col("_center")))
-    cosine = _dot(F.col(column), F.col("_center")) / F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+    c = F.col("centroid")
+    known = center.select(F.struct(c.alias("at"), F.sqrt(_dot(c, c)).alias("size"))).scalar()
+    rows = vectors.withColumn("_center", known)
+    norm = F.sqrt(_dot(F.col(column), F.col(column))) * F.col("_center.size")
+    cosine = _dot(F.col(column), F.col("_center.at")) / F.when(norm == 0, F.lit(1.0)).otherwise(norm)
     return rows.withColumn("complexity_score", 1 - cosine).drop("_center")
 
 

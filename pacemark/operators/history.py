@@ -14,8 +14,11 @@ from pacemark import fixed_values as fv
 from pacemark.functions import durations
 from pacemark.functions.parsing import split_list
 from pacemark.operators.broadcasts import small_side
+from pacemark.session import written
 from pacemark.sources.schemas import KEY
 
+HUB_DEGREE = 1000  # a file with more strong partners is a hub
+
 
 def files_of_pairs(pairs: DataFrame, column: str = "pr_files_changed") -> DataFrame:
     """One row per pair and file from a delimited list column."""
@@ -78,17 +81,40 @@ def cochange_edges(commit_files: DataFrame, interest: DataFrame, min_support: in
     ))).where("wanted").select("repo", "source", "partner", "n")
 
 
-def coupling(own_files: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct partners of a pair's files: all of them, and those that are not its own."""
-    partners = (own_files.withColumnRenamed("path", "source").join(edges, ["repo", "source"])
-                .select(*KEY, F.col("partner").alias("path")).distinct()
-                .withColumns({"is_own": F.lit(0), "is_partner": F.lit(1)}))
-    own = own_files.select(*KEY, "path").withColumns({"is_own": F.lit(1), "is_partner": F.lit(0)})
-    roles = own.unionByName(partners).groupBy(*KEY, "path").agg(
-        F.max("is_own").alias("is_own"), F.max("is_partner").alias("is_partner"))
-    return roles.groupBy(*KEY).agg(
-        F.sum("is_partner").cast("long").alias("fan_in"),
-        F.sum(F.col("is_partner") * (1 - F.col("is_own"))).cast("long").alias("fan_out"))
+def coupling(own_files: DataFrame, edges: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
+    """Distinct partners of a pair's files: all of them, and those that are not its own.
+
+    Partners of ordinary files are listed per pair. A hub has too many partners to
+    list them for every pair that touches it, and most pairs may; the partners of each
+    *set* of hubs that occurs are listed once, and pairs with that set share them.
+    """
+    hubs = (edges.groupBy("repo", F.col("source").alias("path")).agg(F.count("*").alias("_degree"))
+            .where(F.col("_degree") > hub_degree).select("repo", "path", F.lit(True).alias("is_hub")))
+    marked = own_files.join(hubs, ["repo", "path"], "left")
+    hub_sets = (marked.where("is_hub").groupBy(*KEY)
+                .agg(F.sort_array(F.collect_list("path")).alias("hubs")))
+    reached = (hub_sets.select("repo", "hubs").distinct()
+               .select("repo", "hubs", F.explode("hubs").alias("source"))
+               .join(edges, ["repo", "source"])
+               .select("repo", "hubs", F.col("partner").alias("path")).distinct())
+    reach_sizes = reached.groupBy("repo", "hubs").agg(F.count("*").alias("reach_size"))
+
+    listed = (marked.where("is_hub is null").withColumnRenamed("path", "source")
+              .join(edges, ["repo", "source"]).select(*KEY, F.col("partner").alias("path")))
+    roles = (own_files.withColumns({"is_own": F.lit(1), "is_listed": F.lit(0)})
+             .unionByName(listed.withColumns({"is_own": F.lit(0), "is_listed": F.lit(1)}))
+             .groupBy(*KEY, "path")
+             .agg(F.max("is_own").alias("is_own"), F.max("is_listed").alias("is_listed")))
+    placed = (roles.join(hub_sets, KEY, "left")
+              .join(reached.withColumn("is_reached", F.lit(1)), ["repo", "hubs", "path"], "left")
+              .fillna(0, ["is_reached"]))
+    is_partner = F.greatest("is_listed", "is_reached")
+    counted = placed.groupBy(*KEY, "hubs").agg(
+        F.sum(F.col("is_listed") * (1 - F.col("is_reached"))).alias("beyond_hubs"),
+        F.sum(F.col("is_own") * is_partner).alias("own_partners"))
+    fan_in = F.col("beyond_hubs") + F.coalesce("reach_size", F.lit(0))
+    return (counted.join(reach_sizes, ["repo", "hubs"], "left")
+            .select(*KEY, fan_in.alias("fan_in"), (fan_in - F.col("own_partners")).alias("fan_out")))
 
 
 def history_features(pairs: DataFrame, pair_files: DataFrame, commit_files: DataFrame,
@@ -113,7 +139,9 @@ def history_features(pairs: DataFrame, pair_files: DataFrame, commit_files: Data
         F.avg(age).alias("avg_file_age_days"), F.min(age).alias("min_file_age_days"),
         F.max(age).alias("max_file_age_days"),
         F.avg(changes).alias("avg_change_frequency"), F.max(changes).alias("max_change_frequency"))
-    edges = cochange_edges(commits, own, min_support, max_files)
+    # the coupling reads the edges several times
+    edges = written(cochange_edges(commits, own, min_support, max_files)
+                    .select("repo", "source", "partner"), "edges")
     both = churn.join(coupling(own.select(*KEY, "path"), edges), KEY, "left")
     touched = F.col("total_churn_added") + F.col("total_churn_deleted")
     features = both.withColumns({

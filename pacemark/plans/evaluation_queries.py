@@ -8,7 +8,8 @@ from pacemark import fixed_values as fv
 from pacemark.functions import durations
 from pacemark.operators import buckets, comparison, estimates, metrics, sensitivity
 from pacemark.plans import views
-from pacemark.plans.registry import query, tidy, written
+from pacemark.plans.registry import query, tidy
+from pacemark.session import written
 from pacemark.sources import standins
 from pacemark.sources.schemas import KEY
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pacemark import fixed_values as fv
 from pacemark.operators import history, keys
 from pacemark.plans import views
-from pacemark.plans.registry import query, tidy, written
+from pacemark.plans.registry import query, tidy
+from pacemark.session import written
 from pacemark.sources import standins
 from pacemark.sources.schemas import KEY
 
@@ -52,3 +54,24 @@ def history_cache_refresh(spark, sf_dir):
     cached = written(history.history_features(held, own, commits), "history_cache")
     fresh = history.history_features(keys.only_new(pairs, cached, KEY), own, commits)
     return tidy(keys.newest_wins(cached, fresh, KEY))
+
+
+_SCORES_SQL = """vec AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+center AS (SELECT i, avg(v) AS m FROM vec GROUP BY i),
+scores AS (
+  SELECT vec_id, 1 - sum(v * m) / nullif(sqrt(sum(v * v)) * sqrt(sum(m * m)), 0) AS complexity_score
+  FROM vec JOIN center USING (i) GROUP BY vec_id)"""
+
+
+@query(f"""WITH {views.COMMIT_FILES}, {views.ORDER_PAIRS}, {views.history('features', 'order_pairs')}, {_SCORES_SQL},
+{views.text_features('text_features', 'documents', 'doc_id', 'lang', 'text')}
+SELECT f.*, round(duration_hours, 6) AS duration_hours, round(complexity_score, 6) AS complexity_score,
+  text_length, word_count, cross_ref_density, ambiguity_index, technical_scope
+FROM features f JOIN order_pairs USING (repo, issue_number)
+JOIN text_features d ON d.doc_id = f.issue_number % (SELECT count(*) FROM documents)
+JOIN scores v ON v.vec_id = f.issue_number % (SELECT count(*) FROM embeddings)""")
+def model_features(spark, sf_dir):
+    """All features of a pair side by side, joined by key."""
+    return tidy(standins.feature_table(spark, sf_dir).select(
+        *KEY, "duration_hours", *fv.TEXT_FEATURES, *fv.HISTORY_FEATURES))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pacemark.functions import durations, parsing
 from pacemark.operators import cleaning, keys, linking, repos, scoring
 from pacemark.plans import views
-from pacemark.plans.registry import query, tidy, written
+from pacemark.plans.registry import query, tidy
+from pacemark.session import written
 from pacemark.sources import standins
 from pacemark.sources.readers import read_table
 from pacemark.sources.schemas import KEY

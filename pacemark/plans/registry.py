@@ -7,9 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
-
-from pacemark.session import new_table_path
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -37,14 +34,3 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
             c = c.cast("long")
         out.append(c.alias(f.name))
     return df.select(*out)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    For tables that several branches of a query scan: they are computed once, later
-    scans prune columns and push filters, and a lost executor costs a rescan only.
-    """
-    path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pacemark import fixed_values as fv
 from pacemark.operators import embeddings, estimates, text_features
 from pacemark.plans import views
 from pacemark.plans.registry import query, tidy
@@ -13,18 +12,8 @@ from pacemark.sources.readers import read_table
 from pacemark.sources.schemas import KEY
 
 
-def _features_sql(source: str, key: str, title: str, body: str, prefix: str = "") -> str:
-    domains = " + ".join(f"CAST(list_has_any(terms, {views.words(ws)}) AS BIGINT)"
-                         for ws in fv.DOMAIN_KEYWORDS.values())
-    patterns = ["#\\p{Nd}+", f"https?://[^{views.SPACE}]+", "[A-Z]+-\\p{Nd}+", "@[\\p{L}\\p{N}_]+"]
-    refs = " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in patterns)
-    return f"""WITH {prefix}texts AS (SELECT {key}, coalesce({title}, '') || ' ' || coalesce({body}, '') AS t FROM {source}),
-terms AS (
-  SELECT *, list_distinct(regexp_extract_all(lower(t), '[^{views.SPACE}]+')) AS terms, {views.word_count('t')} AS w FROM texts)
-SELECT {key}, CAST(length(t) AS BIGINT) AS text_length, w AS word_count, CAST({refs} AS BIGINT) AS cross_ref_density,
-  round(len(list_intersect(terms, {views.words(fv.VAGUE_TERMS)})) / greatest(w, 1), 6) AS ambiguity_index,
-  {domains} AS technical_scope
-FROM terms"""
+def _features_sql(source: str, key: str, title: str, body: str, before: str = "") -> str:
+    return f"WITH {before}{views.text_features('features', source, key, title, body)} SELECT * FROM features"
 
 
 @query(_features_sql("pairs", "repo, issue_number", "issue_title", "issue_body", views.pairs() + ",\n"))

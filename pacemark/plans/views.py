@@ -213,3 +213,19 @@ def history(name: str, batch: str) -> str:
     round(min_file_age_days, 6) AS min_file_age_days, round(max_file_age_days, 6) AS max_file_age_days,
     round(avg_change_frequency, 6) AS avg_change_frequency, max_change_frequency
   FROM {name}_churn c LEFT JOIN {name}_coupling USING (repo, issue_number))"""
+
+
+def text_features(name: str, source: str, key: str, title: str, body: str) -> str:
+    """CTE with the derived text features of each row of ``source``."""
+    domains = " + ".join(f"CAST(list_has_any(terms, {words(ws)}) AS BIGINT)" for ws in fv.DOMAIN_KEYWORDS.values())
+    patterns = ["#\\p{Nd}+", f"https?://[^{SPACE}]+", "[A-Z]+-\\p{Nd}+", "@[\\p{L}\\p{N}_]+"]
+    refs = " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in patterns)
+    return f"""{name}_texts AS (
+  SELECT {key}, coalesce({title}, '') || ' ' || coalesce({body}, '') AS t FROM {source}),
+{name}_terms AS (
+  SELECT *, list_distinct(regexp_extract_all(lower(t), '[^{SPACE}]+')) AS terms, {word_count('t')} AS w FROM {name}_texts),
+{name} AS (
+  SELECT {key}, CAST(length(t) AS BIGINT) AS text_length, w AS word_count, CAST({refs} AS BIGINT) AS cross_ref_density,
+    round(len(list_intersect(terms, {words(fv.VAGUE_TERMS)})) / greatest(w, 1), 6) AS ambiguity_index,
+    {domains} AS technical_scope
+  FROM {name}_terms)"""

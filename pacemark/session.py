@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pacemark") -> SparkSession:
@@ -16,6 +16,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pac
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -49,3 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has written to yet."""
     return f"{shared_folder(spark)}/pacemark/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    For tables that several branches of a plan scan: they are computed once, later
+    scans prune columns and push filters, and a lost executor costs a rescan only.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

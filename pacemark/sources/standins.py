@@ -33,27 +33,27 @@ def _row_count(df: DataFrame):
 def first_later_event(events: DataFrame, start: str, end: str) -> DataFrame:
     """Each ``start`` event with the time of the same user's next ``end`` event.
 
-    A user may hold a third of all events, so the search runs per user and day; when
-    the day has no later ``end`` event, the first one of the next day with any counts.
-    Only one row per user and day is ever compared across days.
+    A user may hold a third of all events, so the search runs per user and hour; when
+    the hour has no later ``end`` event, the first one of the next hour with any counts.
+    Only one row per user and hour is ever compared across hours.
     """
     rows = (events.where(F.col("event_type").isin(start, end))
             .withColumn("at", F.col("ts").cast("timestamp"))
             .withColumn("us", F.unix_micros("at"))
-            .withColumn("day", F.floor(F.col("us") / F.lit(86_400_000_000)))
+            .withColumn("hour", F.floor(F.col("us") / F.lit(3_600_000_000)))
             .withColumn("end_us", F.when(F.col("event_type") == end, F.col("us"))))
     # ordered backwards, so the frame "strictly later" is a running one
-    backwards = (Window.partitionBy("user_id", "day").orderBy((-F.col("us")).alias("back"))
+    backwards = (Window.partitionBy("user_id", "hour").orderBy((-F.col("us")).alias("back"))
                  .rangeBetween(Window.unboundedPreceding, -1))
-    same_day = rows.withColumn("same_day", F.min("end_us").over(backwards)).where(
+    same_hour = rows.withColumn("same_hour", F.min("end_us").over(backwards)).where(
         F.col("event_type") == start)
-    firsts = rows.groupBy("user_id", "day").agg(F.min("end_us").alias("first_us"))
-    later_days = (Window.partitionBy("user_id").orderBy(F.col("day").desc())
-                  .rowsBetween(Window.unboundedPreceding, -1))
-    next_days = firsts.select("user_id", "day", F.min("first_us").over(later_days).alias("next_day"))
-    return (same_day.join(next_days, ["user_id", "day"])
-            .withColumn("end_at", F.timestamp_micros(F.coalesce("same_day", "next_day")))
-            .drop("us", "day", "end_us", "same_day", "next_day"))
+    firsts = rows.groupBy("user_id", "hour").agg(F.min("end_us").alias("first_us"))
+    later_hours = (Window.partitionBy("user_id").orderBy(F.col("hour").desc())
+                   .rowsBetween(Window.unboundedPreceding, -1))
+    next_hours = firsts.select("user_id", "hour", F.min("first_us").over(later_hours).alias("next_hour"))
+    return (same_hour.join(next_hours, ["user_id", "hour"])
+            .withColumn("end_at", F.timestamp_micros(F.coalesce("same_hour", "next_hour")))
+            .drop("us", "hour", "end_us", "same_hour", "next_hour"))
 
 
 def issue_events(spark: SparkSession, sf_dir: str, end: str = "purchase") -> DataFrame:
