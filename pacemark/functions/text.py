@@ -42,18 +42,31 @@ def word_count(text: Column) -> Column:
 
 
 def cross_reference_count(text: Column) -> Column:
-    counts = [F.regexp_count(text, F.lit(p)) for p in fv.CROSS_REFERENCE_PATTERNS]
+    """All matches of all patterns; a text without a pattern's fixed part skips its search."""
+    counts = [F.when(text.contains(fixed), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+              for fixed, pattern in zip(("#", "://", "-", "@"), fv.CROSS_REFERENCE_PATTERNS)]
     return reduce(Column.__add__, counts).cast("long")
 
 
-def known_terms(text: Column) -> Column:
-    """The distinct vague and domain words of a text.
+def lower_words(text: Column) -> Column:
+    """Lower-case words with their punctuation; '' stands at an end that is white space."""
+    return F.split(F.lower(text), f"[{fv.SPACE}]+")
 
-    One pass over the words leaves a short array, so the per-list tests below do
-    not walk long texts again.
+
+def words_in(words: Column) -> Column:
+    """Number of words in ``lower_words``, without the blanks at its ends."""
+    blank = (F.get(words, F.lit(0)) == "").cast("int") + (F.get(words, F.size(words) - 1) == "").cast("int")
+    return F.greatest(F.size(words) - blank, F.lit(0)).cast("long")
+
+
+def known_terms(words: Column) -> Column:
+    """The distinct vague and domain words among ``words``.
+
+    One pass leaves a short array, so the per-list tests below do not walk long
+    texts again.
     """
     vocabulary = sorted({*fv.VAGUE_TERMS, *(w for ws in fv.DOMAIN_KEYWORDS.values() for w in ws)})
-    return F.array_intersect(F.split(F.lower(text), f"[{fv.SPACE}]+"), _words(vocabulary))
+    return F.array_intersect(words, _words(vocabulary))
 
 
 def ambiguity_index(terms: Column, words: Column) -> Column:

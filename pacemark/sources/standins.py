@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pacemark.functions import durations, text
 from pacemark.operators import embeddings, history, quantiles, splits, text_features
-from pacemark.session import new_table_path
+from pacemark.session import new_table_path, written
 from pacemark.sources import readers, sinks
 from pacemark.sources.readers import read_table
 from pacemark.sources.schemas import KEY
@@ -152,7 +152,7 @@ def simple_predictions(rows: DataFrame, by: list[str] | None = None) -> DataFram
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of the three estimators, written once and read back for analysis."""
-    rows = banded_issues(spark, sf_dir).where(durations.in_bounds(F.col("hours")))
+    rows = written(banded_issues(spark, sf_dir).where(durations.in_bounds(F.col("hours"))), "banded")
     path = new_table_path(spark, "predictions")
     sinks.write_predictions(simple_predictions(rows), path)
     return readers.read_predictions(spark, path)
