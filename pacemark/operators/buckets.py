@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pacemark import fixed_values as fv
 from pacemark.functions import durations, text
 from pacemark.operators import metrics, quantiles
+from pacemark.operators.unions import stacked
 from pacemark.sources.schemas import KEY
 
 LABELS = [label for _, _, label in fv.PREDICTION_BUCKETS]
@@ -93,7 +94,7 @@ def best_and_worst(predictions: DataFrame, by: list[str], n: int = 3) -> DataFra
         window = Window.partitionBy(*by, "actual_bucket").orderBy(order, *[F.col(c) for c in KEY])
         ends.append(rows.withColumn("position", F.row_number().over(window))
                     .where(F.col("position") <= n).withColumn("kind", F.lit(kind)))
-    return ends[0].unionByName(ends[1])
+    return stacked(*ends)
 
 
 def described_examples(examples: DataFrame, pairs: DataFrame, text_limit: int = 400) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pacemark.functions import parsing
 from pacemark.operators import metrics
+from pacemark.operators.groups import side_by_side
 from pacemark.sources.schemas import KEY
 
 
@@ -27,7 +28,5 @@ def answer_counts(estimates: DataFrame) -> DataFrame:
 def estimator_metrics(pairs: DataFrame, estimates: DataFrame) -> DataFrame:
     """Metrics of the readable answers, accuracy against the mean of the same rows."""
     rows = pairs.join(estimates.select(*KEY, "predicted_hours"), KEY).dropna(subset=["predicted_hours"])
-    labelled = rows.withColumn("_all", F.lit(1))
-    return (metrics.regression_metrics(labelled, ["_all"])
-            .join(metrics.accuracy_over_mean(labelled, ["_all"]), "_all")
-            .drop("_all").withColumnRenamed("sa_mean", "sa"))
+    return (side_by_side(metrics.regression_metrics(rows, []), metrics.accuracy_over_mean(rows, []), [])
+            .withColumnRenamed("sa_mean", "sa"))

@@ -14,6 +14,7 @@ from pacemark import fixed_values as fv
 from pacemark.functions import durations
 from pacemark.functions.parsing import split_list
 from pacemark.operators.broadcasts import small_side
+from pacemark.operators.unions import stacked
 from pacemark.session import written
 from pacemark.sources.schemas import KEY
 
@@ -101,8 +102,8 @@ def coupling(own_files: DataFrame, edges: DataFrame, hub_degree: int = HUB_DEGRE
 
     listed = (marked.where("is_hub is null").withColumnRenamed("path", "source")
               .join(edges, ["repo", "source"]).select(*KEY, F.col("partner").alias("path")))
-    roles = (own_files.withColumns({"is_own": F.lit(1), "is_listed": F.lit(0)})
-             .unionByName(listed.withColumns({"is_own": F.lit(0), "is_listed": F.lit(1)}))
+    roles = (stacked(own_files.withColumns({"is_own": F.lit(1), "is_listed": F.lit(0)}),
+                     listed.withColumns({"is_own": F.lit(0), "is_listed": F.lit(1)}))
              .groupBy(*KEY, "path")
              .agg(F.max("is_own").alias("is_own"), F.max("is_listed").alias("is_listed")))
     placed = (roles.join(hub_sets, KEY, "left")

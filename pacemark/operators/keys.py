@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
+from pacemark.operators.unions import stacked
 
 
 def _one_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -30,16 +31,16 @@ def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def existing_wins(existing: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Union of both sides, one row per key, rows already held win."""
-    both = (existing.withColumn("_source", F.lit(0))
-            .unionByName(new.withColumn("_source", F.lit(1)), allowMissingColumns=True))
+    both = stacked(existing.withColumn("_source", F.lit(0)), new.withColumn("_source", F.lit(1)),
+                   allow_missing=True)
     return keep_first(both, key, ["_source", *order]).drop("_source")
 
 
 def newest_wins(cached: DataFrame, new: DataFrame, key: list[str],
                 order: list[str] | None = None) -> DataFrame:
     """Union of both sides, one row per key, newly computed rows win."""
-    both = (cached.withColumn("_source", F.lit(0))
-            .unionByName(new.withColumn("_source", F.lit(1)), allowMissingColumns=True))
+    both = stacked(cached.withColumn("_source", F.lit(0)), new.withColumn("_source", F.lit(1)),
+                   allow_missing=True)
     return keep_last(both, key, ["_source", *(order or [])]).drop("_source")
 
 
@@ -60,10 +61,7 @@ def only_listed(df: DataFrame, allowed: DataFrame, key: list[str]) -> DataFrame:
 
 def key_union(*logs: DataFrame, key: list[str]) -> DataFrame:
     """All keys of several logs, each once."""
-    out = logs[0].select(*key)
-    for log in logs[1:]:
-        out = out.unionByName(log.select(*key))
-    return out.distinct()
+    return stacked(*[log.select(*key) for log in logs]).distinct()
 
 
 def settled(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacemark.functions import durations
+from pacemark.operators.unions import stacked
 from pacemark.sources.schemas import KEY
 
 
@@ -47,8 +48,8 @@ def first_merged_change(issues: DataFrame, timeline: DataFrame, pulls: DataFrame
                  .agg(F.min("pr_number").alias("pr_number")))
     by_text = (mentioned.join(issues.where(~F.col("is_pull_request")).select(*KEY), KEY, "left_semi")
                .withColumns({"event_order": F.lit(None), "via": F.lit("mention")}))
-    candidates = (referenced.unionByName(closed).withColumn("late", F.lit(0))
-                  .unionByName(by_text.withColumn("late", F.lit(1))))
+    candidates = stacked(referenced.withColumn("late", F.lit(0)), closed.withColumn("late", F.lit(0)),
+                         by_text.withColumn("late", F.lit(1)))
     best = F.min(F.struct("late", "event_order", "pr_number", "via")).alias("best")
     return candidates.groupBy(*KEY).agg(best).select(*KEY, "best.pr_number", "best.via")
 

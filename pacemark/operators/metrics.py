@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pacemark.functions import durations
 from pacemark.operators import quantiles, ranks
+from pacemark.operators.groups import side_by_side
 
 METRICS = ["mae", "mdae", "mre", "pred_25", "pred_50", "r2", "sa"]
 
@@ -29,7 +30,7 @@ def regression_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
         (F.avg((F.col("rel_error") <= 0.50).cast("double")) * 100).alias("pred_50"),
         (1 - F.avg(error * error) / F.nullif(F.var_pop("actual_hours"), F.lit(0.0))).alias("r2"))
     medians = quantiles.quantiles(rows, by, "abs_error", {"mdae": 0.5})
-    return plain.join(medians, by).select(
+    return side_by_side(plain, medians, by).select(
         *by, "n", "mae", "mdae", "mre", "pred_25", "pred_50", "r2")
 
 
@@ -43,7 +44,7 @@ def accuracy_over_random(predictions: DataFrame, by: list[str]) -> DataFrame:
     tested = errors(predictions.where(is_test)).groupBy(*by).agg(F.avg("abs_error").alias("mae"))
     base, spread, mae = F.col("mae_p0"), F.col("std_p0"), F.col("mae")
     gain = F.when(spread > 0, (base - mae) / spread).otherwise(F.lit(0.0))
-    return guesses.join(tested, by).select(
+    return side_by_side(guesses, tested, by).select(
         *by, "mae", "mae_p0",
         F.when(base == 0, F.lit(0.0)).otherwise(spread).alias("std_p0"),
         F.when(base == 0, F.lit(0.0)).otherwise((1 - mae / base) * 100).alias("sa"),
@@ -65,13 +66,13 @@ def accuracy_over_mean(predictions: DataFrame, by: list[str]) -> DataFrame:
 def all_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
     """The metrics of the test rows, standardised accuracy included."""
     tested = regression_metrics(predictions.where("split = 'test'"), by)
-    return tested.join(accuracy_over_random(predictions, by).drop("mae"), by)
+    return side_by_side(tested, accuracy_over_random(predictions, by).drop("mae"), by)
 
 
 def split_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, median and standard deviation of the target in each group."""
     plain = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    return plain.join(quantiles.quantiles(rows, by, value, {"median": 0.5}), by).select(
+    return side_by_side(plain, quantiles.quantiles(rows, by, value, {"median": 0.5}), by).select(
         *by, "n", "mean", "median", "std")
 
 

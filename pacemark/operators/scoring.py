@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pacemark import fixed_values as fv
 from pacemark.functions import durations
 from pacemark.operators import learning
+from pacemark.operators.unions import stacked
 from pacemark.sources.readers import path_exists
 from pacemark.sources.schemas import KEY
 
@@ -59,7 +60,7 @@ def estimate_all(rows: DataFrame, bundles: Bundles, method: str = "pca") -> Data
     """Estimates of models A, B and C for each row."""
     parts = [estimate(rows, bundles.get(name), columns, name)
              for name, (columns, _) in learning.variants(method).items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return stacked(*parts)
 
 
 def with_category(rows: DataFrame, category: str = "category") -> DataFrame:

@@ -58,19 +58,20 @@ def compare(columns_a, rows_a, columns_b, rows_b) -> str | None:
     return f"only nearly equal in {loose} cells" if loose else None
 
 
-def run(spark, con, name, plan, sql, sf_dir) -> tuple[str, float, float, int]:
+def run(spark, con, plan, sql, sf_dir) -> dict:
+    """Run one query on both sides: verdict, seconds, rows and the text of the Spark plan."""
     start = time.time()
     df = plan(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
-    spent = time.time() - start
+    out = {"verdict": "rows only", "spark": time.time() - start, "duck": 0.0, "rows": len(got),
+           "plan": df._jdf.queryExecution().executedPlan().toString()}
     if sql is None:
-        return "rows only", spent, 0.0, len(got)
+        return out
     start = time.time()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     want = cursor.fetchall()
-    verdict = compare(df.columns, got, names, want)
-    return verdict or "ok", spent, time.time() - start, len(got)
+    return {**out, "duck": time.time() - start, "verdict": compare(df.columns, got, names, want) or "ok"}
 
 
 if __name__ == "__main__":
@@ -85,7 +86,7 @@ if __name__ == "__main__":
         if chosen and name not in chosen:
             continue
         try:
-            verdict, a, b, n = run(spark, con, name, plan, sqls.get(name), folder)
+            r = run(spark, con, plan, sqls.get(name), folder)
         except Exception as e:  # report and go on with the next query
-            verdict, a, b, n = f"ERROR {type(e).__name__}: {str(e)[:600]}", 0, 0, 0
-        print(f"{name:28s} {n:8d} rows  spark {a:6.2f}s  duck {b:6.2f}s  {verdict}", flush=True)
+            r = {"verdict": f"ERROR {type(e).__name__}: {str(e)[:600]}", "spark": 0, "duck": 0, "rows": 0}
+        print(f"{name:28s} {r['rows']:8d} rows  spark {r['spark']:6.2f}s  duck {r['duck']:6.2f}s  {r['verdict']}", flush=True)
