@@ -100,6 +100,8 @@ def best_and_worst(predictions: DataFrame, by: list[str], n: int = 3) -> DataFra
 def described_examples(examples: DataFrame, pairs: DataFrame, text_limit: int = 400) -> DataFrame:
     """Examples joined back to the texts they came from, with readable hours."""
     source = pairs.select(*KEY, "issue_title", "issue_body", F.size("pr_files_changed").alias("files"))
+    # a fixed number of examples per bucket and group: texts of other pairs do not travel
+    source = source.join(F.broadcast(examples.select(*KEY).distinct()), KEY, "left_semi")
     return examples.join(source, KEY, "left").withColumns({
         "actual": durations.readable_hours(F.col("actual_hours")),
         "predicted": durations.readable_hours(F.col("predicted_hours")),

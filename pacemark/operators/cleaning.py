@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pacemark import fixed_values as fv
 from pacemark.functions import durations, text
 from pacemark.operators import keys
-from pacemark.operators.broadcasts import small_side
+from pacemark.session import written
 from pacemark.sources.schemas import KEY
 
 
@@ -27,10 +27,11 @@ def drop_small_repos(pairs: DataFrame, min_rows: int = fv.MIN_REPO_ROWS) -> Data
     """Drop repos with fewer rows than ``min_rows``, by the rows given here.
 
     Repos are counted with partial sums, not in a window, so a repo that holds most
-    rows is no burden; the few small repos are then removed.
+    rows is no burden; the small repos, written first so that their size is known,
+    are then removed.
     """
     small = pairs.groupBy("repo").agg(F.count("*").alias("_n")).where(F.col("_n") < min_rows)
-    return pairs.join(small_side(small.select("repo")), "repo", "left_anti")
+    return pairs.join(written(small.select("repo"), "small_repos"), "repo", "left_anti")
 
 
 def clean_pairs(pairs: DataFrame, order: list[str], min_rows: int = fv.MIN_REPO_ROWS,

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pacemark import fixed_values as fv
 from pacemark.functions import durations
 from pacemark.functions.parsing import split_list
-from pacemark.operators.broadcasts import small_side
 from pacemark.operators.unions import stacked
 from pacemark.session import written
 from pacemark.sources.schemas import KEY
@@ -31,13 +30,16 @@ def recent_commits(commit_files: DataFrame, pairs: DataFrame,
     """Commits of the pairs' repos, from the repo's first pair less the lookback on.
 
     There is no upper bound: later changes count as well. The smallest of all bounds
-    is a scalar that reaches the scan; the bound of each repo follows by join.
+    is a scalar that reaches the scan; the bound of each repo follows by join. The
+    bounds are written first, so the planner knows their size and broadcasts them
+    unless there are very many repos.
     """
     lookback = F.make_dt_interval(F.lit(lookback_days))
-    bounds = pairs.groupBy("repo").agg((F.min("issue_created_at") - lookback).alias("_since"))
-    earliest = pairs.agg((F.min("issue_created_at") - lookback).alias("since")).scalar()
+    bounds = written(pairs.groupBy("repo").agg(
+        (F.min("issue_created_at") - lookback).alias("_since")), "bounds")
+    earliest = bounds.agg(F.min("_since").alias("since")).scalar()
     return (commit_files.where(F.col("committed_at") >= earliest)
-            .join(small_side(bounds), "repo")
+            .join(bounds, "repo")
             .where(F.col("committed_at") >= F.col("_since")).drop("_since"))
 
 
@@ -53,18 +55,21 @@ def cochange_edges(commit_files: DataFrame, interest: DataFrame, min_support: in
                    max_files: int = fv.MAX_FILES_PER_COMMIT) -> DataFrame:
     """How often a file of interest changed together with another file, directed.
 
-    Commits of more than ``max_files`` files say nothing about coupling; they are
-    counted first and never expanded, so the expansion is linear in the number of
-    commits. Each unordered pair is counted once and turned into its two directions
-    only after the count.
+    Commits of more than ``max_files`` files say nothing about coupling. They are found
+    by a count with partial sums and dropped before files of a commit meet, so no long
+    list is ever built and the expansion is linear in the number of commits; written
+    first, the few such commits are broadcast. Each unordered pair is counted once and
+    turned into its two directions only after the count.
     """
-    small = (commit_files.groupBy("repo", "commit_id").agg(F.count("*").alias("_n"))
-             .where(F.col("_n").between(2, max_files)).select("repo", "commit_id"))
-    marked = commit_files.select("repo", "commit_id", "path").join(
+    oversized = written(
+        commit_files.groupBy("repo", "commit_id").agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > max_files).select("repo", "commit_id"), "oversized")
+    kept = commit_files.select("repo", "commit_id", "path").join(
+        oversized, ["repo", "commit_id"], "left_anti")
+    marked = kept.join(
         interest.select("repo", "path").distinct().withColumn("wanted", F.lit(True)),
         ["repo", "path"], "left")
-    lists = (marked.join(small, ["repo", "commit_id"])
-             .groupBy("repo", "commit_id")
+    lists = (marked.groupBy("repo", "commit_id")
              .agg(F.sort_array(F.collect_list(F.struct(
                  "path", F.coalesce("wanted", F.lit(False)).alias("wanted")))).alias("files"))
              .where(F.exists("files", lambda f: f["wanted"])))

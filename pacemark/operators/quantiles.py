@@ -62,12 +62,16 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str,
                 & (position < F.col("_upto")))
         return F.max(F.when(here, F.col("_anchor")))
 
+    def found(pick: str) -> Column:
+        missed = F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double")
+        return F.when(F.col("n") > 0, F.coalesce(pick, missed))
+
     picks, outs = [], []
     for name in names:
         target = (F.col("_n") - 1) * F.lit(float(probabilities[name]))
         picks += [at(F.floor(target)).alias(f"_a_{name}"), at(F.ceil(target)).alias(f"_z_{name}")]
         place = (F.col("n") - 1) * F.lit(float(probabilities[name]))
-        low, high = F.col(f"_a_{name}"), F.col(f"_z_{name}")
+        low, high = found(f"_a_{name}"), found(f"_z_{name}")
         outs.append((low + (high - low) * (place - F.floor(place))).alias(name))
     return (ranked.groupBy(*by).agg(F.first("_n").alias("n"), *picks)
             .select(*by, "n", *outs))

@@ -92,7 +92,7 @@ def mean_attribution(spark, sf_dir):
 
 def _training_rows(spark, sf_dir):
     features = embeddings.with_vector(standins.feature_table(spark, sf_dir))
-    rows = learning.training_rows(features, max_days=_MAX_DAYS, folds=_BUDGET.folds)
+    rows = learning.training_rows(features, max_days=_MAX_DAYS)
     return written(rows, "training_rows")
 
 

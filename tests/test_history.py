@@ -9,7 +9,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
-from pacemark.operators import broadcasts, cleaning, history, linking
+from pacemark.operators import cleaning, history, linking
 
 DAY = dt.timedelta(days=1)
 START = dt.datetime(2025, 1, 1)
@@ -117,14 +117,6 @@ def test_history_starts_a_lookback_before_the_first_pair(spark):
         ("r", 1), ("r", 2), ("r", 3), ("s", 3)]
 
 
-def test_broadcast_only_what_was_counted(spark):
-    def hinted(df):
-        return "UnresolvedHint" in df._jdf.queryExecution().logical().toString() or \
-            "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-    assert hinted(broadcasts.small_side(spark.range(10), 10))
-    assert not hinted(broadcasts.small_side(spark.range(11), 10))
-
-
 def linked(spark):
     t = START
     issues = spark.createDataFrame(

@@ -126,7 +126,7 @@ def training(spark):
     names = ["repo string", "issue_number long", "duration_hours double", "embedding array<double>"]
     names += [f"{c} double" for c in fv.TEXT_FEATURES + fv.HISTORY_FEATURES]
     df = embeddings.with_vector(spark.createDataFrame(rows, ", ".join(names)))
-    return learning.training_rows(df, folds=2)
+    return learning.training_rows(df)
 
 
 @pytest.fixture(scope="module")
