@@ -57,18 +57,18 @@ def cochange_edges(commit_files: DataFrame, interest: DataFrame, min_support: in
 
     Commits of more than ``max_files`` files say nothing about coupling. They are found
     by a count with partial sums and dropped before files of a commit meet, so no long
-    list is ever built and the expansion is linear in the number of commits; written
-    first, the few such commits are broadcast. Each unordered pair is counted once and
-    turned into its two directions only after the count.
+    list is ever built and the expansion is linear in the number of commits. Each
+    unordered pair is counted once and turned into its two directions only after the
+    count. The oversized commits and the files of interest are written first: the
+    planner then knows their size, and commits are not shuffled to meet a small table.
     """
     oversized = written(
         commit_files.groupBy("repo", "commit_id").agg(F.count("*").alias("_n"))
         .where(F.col("_n") > max_files).select("repo", "commit_id"), "oversized")
     kept = commit_files.select("repo", "commit_id", "path").join(
         oversized, ["repo", "commit_id"], "left_anti")
-    marked = kept.join(
-        interest.select("repo", "path").distinct().withColumn("wanted", F.lit(True)),
-        ["repo", "path"], "left")
+    wanted = written(interest.select("repo", "path").distinct(), "interest")
+    marked = kept.join(wanted.withColumn("wanted", F.lit(True)), ["repo", "path"], "left")
     lists = (marked.groupBy("repo", "commit_id")
              .agg(F.sort_array(F.collect_list(F.struct(
                  "path", F.coalesce("wanted", F.lit(False)).alias("wanted")))).alias("files"))
@@ -87,6 +87,14 @@ def cochange_edges(commit_files: DataFrame, interest: DataFrame, min_support: in
     ))).where("wanted").select("repo", "source", "partner", "n")
 
 
+def _roles(own_files: DataFrame, listed: DataFrame) -> DataFrame:
+    """Every path a pair touches or lists as a partner, once, with what it is to the pair."""
+    return (stacked(own_files.withColumns({"is_own": F.lit(1), "is_listed": F.lit(0)}),
+                    listed.withColumns({"is_own": F.lit(0), "is_listed": F.lit(1)}))
+            .groupBy(*KEY, "path")
+            .agg(F.max("is_own").alias("is_own"), F.max("is_listed").alias("is_listed")))
+
+
 def coupling(own_files: DataFrame, edges: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
     """Distinct partners of a pair's files: all of them, and those that are not its own.
 
@@ -94,9 +102,17 @@ def coupling(own_files: DataFrame, edges: DataFrame, hub_degree: int = HUB_DEGRE
     list them for every pair that touches it, and most pairs may; the partners of each
     *set* of hubs that occurs are listed once, and pairs with that set share them.
     """
-    hubs = (edges.groupBy("repo", F.col("source").alias("path")).agg(F.count("*").alias("_degree"))
-            .where(F.col("_degree") > hub_degree).select("repo", "path", F.lit(True).alias("is_hub")))
-    marked = own_files.join(hubs, ["repo", "path"], "left")
+    hubs = written(
+        edges.groupBy("repo", F.col("source").alias("path")).agg(F.count("*").alias("_degree"))
+        .where(F.col("_degree") > hub_degree).select("repo", "path"), "hubs")
+    if hubs.isEmpty():
+        listed = (own_files.withColumnRenamed("path", "source").join(edges, ["repo", "source"])
+                  .select(*KEY, F.col("partner").alias("path")))
+        return _roles(own_files, listed).groupBy(*KEY).agg(
+            F.sum("is_listed").alias("fan_in"),
+            F.sum(F.col("is_listed") * (1 - F.col("is_own"))).alias("fan_out"))
+
+    marked = own_files.join(hubs.withColumn("is_hub", F.lit(True)), ["repo", "path"], "left")
     hub_sets = (marked.where("is_hub").groupBy(*KEY)
                 .agg(F.sort_array(F.collect_list("path")).alias("hubs")))
     reached = (hub_sets.select("repo", "hubs").distinct()
@@ -107,11 +123,7 @@ def coupling(own_files: DataFrame, edges: DataFrame, hub_degree: int = HUB_DEGRE
 
     listed = (marked.where("is_hub is null").withColumnRenamed("path", "source")
               .join(edges, ["repo", "source"]).select(*KEY, F.col("partner").alias("path")))
-    roles = (stacked(own_files.withColumns({"is_own": F.lit(1), "is_listed": F.lit(0)}),
-                     listed.withColumns({"is_own": F.lit(0), "is_listed": F.lit(1)}))
-             .groupBy(*KEY, "path")
-             .agg(F.max("is_own").alias("is_own"), F.max("is_listed").alias("is_listed")))
-    placed = (roles.join(hub_sets, KEY, "left")
+    placed = (_roles(own_files, listed).join(hub_sets, KEY, "left")
               .join(reached.withColumn("is_reached", F.lit(1)), ["repo", "hubs", "path"], "left")
               .fillna(0, ["is_reached"]))
     is_partner = F.greatest("is_listed", "is_reached")
@@ -132,7 +144,7 @@ def history_features(pairs: DataFrame, pair_files: DataFrame, commit_files: Data
     The impact radius is the same set as fan-out, so it is computed once.
     """
     spine = pairs.select(*KEY, "issue_created_at")
-    own = pair_files.join(spine, KEY)
+    own = written(pair_files.join(spine, KEY), "own_files")
     commits = recent_commits(commit_files, spine, lookback_days)
     known = own.join(file_history(commits), ["repo", "path"], "left")
     age = durations.age_days(F.col("first_seen"), F.col("issue_created_at"))

@@ -190,25 +190,26 @@ def checked_log_union(spark, sf_dir):
     return keys.key_union(log, keys.only_new(pairs, keys.settled(log), KEY), key=KEY)
 
 
-_QUOTA = 150
+_QUOTA = 200
+_HELD_UNTIL, _HELD_UNTIL_US = "2024-01-03", 1_704_240_000_000_000
 _ALLOWED_MIN = 225
 
 
 @query(f"""WITH {views.issues()},
 allowed AS (SELECT repo FROM issues GROUP BY repo HAVING count(*) >= {_ALLOWED_MIN}),
-held AS (SELECT repo, count(*) AS held FROM issues WHERE created_us < {_SPLIT_US} GROUP BY repo),
+held AS (SELECT repo, count(*) AS held FROM issues WHERE created_us < {_HELD_UNTIL_US} GROUP BY repo),
 new AS (
   SELECT *, row_number() OVER (PARTITION BY repo ORDER BY merged_us DESC, issue_number) AS place
-  FROM issues WHERE created_us >= {_SPLIT_US})
+  FROM issues WHERE created_us >= {_HELD_UNTIL_US})
 SELECT n.repo, n.issue_number, n.merged_us FROM new n LEFT JOIN held USING (repo)
 WHERE place <= greatest({_QUOTA} - coalesce(held, 0), 0)
   AND (n.repo IN (SELECT repo FROM allowed) OR NOT EXISTS (SELECT 1 FROM allowed))""")
 def quota_per_repo(spark, sf_dir):
     pairs = standins.issue_events(spark, sf_dir).select(*KEY, "issue_created_at", "pr_merged_at")
-    held = pairs.where(F.col("issue_created_at") < F.lit(_SPLIT_DATE).cast("timestamp"))
+    held = pairs.where(F.col("issue_created_at") < F.lit(_HELD_UNTIL).cast("timestamp"))
     allowed = pairs.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") >= _ALLOWED_MIN)
     candidates = keys.only_listed(
-        pairs.where(F.col("issue_created_at") >= F.lit(_SPLIT_DATE).cast("timestamp")), allowed, ["repo"])
+        pairs.where(F.col("issue_created_at") >= F.lit(_HELD_UNTIL).cast("timestamp")), allowed, ["repo"])
     quota = keys.remaining_quota(pairs.select("repo").distinct(), held, _QUOTA)
     taken = keys.fill_quota(candidates, quota, "pr_merged_at", ["issue_number"], _QUOTA)
     return taken.select(*KEY, F.unix_micros("pr_merged_at").alias("merged_us"))
