@@ -16,16 +16,18 @@ def _empty(column: str) -> Column:
 
 
 def missing_report(pairs: DataFrame, flag_percent: float = 10.0) -> DataFrame:
-    """Missing values per column in one pass; for texts null or '' counts as missing."""
+    """Missing values and type per column in one pass; for texts null or '' counts as missing."""
     kinds = dict(pairs.dtypes)
     counts = [F.count_if(_empty(c) if kinds[c] == "string" else F.col(c).isNull()).alias(c)
               for c in pairs.columns]
     one_row = pairs.agg(F.count("*").alias("_total"), *counts)
     share = F.col("missing") / F.nullif(F.col("total"), F.lit(0)) * 100
+    types = F.create_map(*[F.lit(x) for pair in pairs.dtypes for x in pair])
     return (one_row.withColumnRenamed("_total", "total")
             .unpivot(["total"], pairs.columns, "column_name", "missing")
             .select("column_name", "total", "missing", share.alias("missing_percent"),
-                    (share > flag_percent).alias("flagged")))
+                    (share > flag_percent).alias("flagged"),
+                    F.element_at(types, F.col("column_name")).alias("data_type")))
 
 
 def text_statistics(pairs: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pacemark.operators.groups import side_by_side
+
 _ACCURACY = 50_000        # the sketch is off by at most n / 50000 ranks
 _MARGIN = 0.0001          # bracket half width as a share of n, over 1/_ACCURACY + 2/_SMALL
 _SMALL = 50_000           # smaller groups are not bracketed at all
@@ -36,11 +38,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str,
         c for i in range(len(names)) for c in (
             F.when(small, F.col("_low")).otherwise(F.col("_edges")[2 * i]).alias(f"_lo{i}"),
             F.when(small, F.col("_high")).otherwise(F.col("_edges")[2 * i + 1]).alias(f"_hi{i}"))])
-    if by:
-        placed = rows.join(brackets, by)
-    else:
-        whole = brackets.select(F.struct(*brackets.columns)).scalar()
-        placed = rows.withColumn("_b", whole).select("_v", "_b.*")
+    placed = side_by_side(rows, brackets, by)
 
     # a value inside a bracket stands for itself (tail 0), one below it is only
     # counted, just before the bracket's low edge (tail -1); after the last it is dropped

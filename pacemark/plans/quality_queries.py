@@ -36,15 +36,17 @@ def _hours(spark, sf_dir):
 _HOURS_SQL = f"""{views.issues()}, rows AS (
   SELECT *, (merged_us - coalesce(assigned_us, created_us)) / 3.6e9 AS h FROM issues)"""
 
+_NUMBERS = {"duration_hours": "double", **dict.fromkeys(
+    ["issue_number", "created_us", "assigned_us", "merged_us", "pr_number", "num_files_changed"], "bigint")}
 _MISSING_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(*) AS total, count(*) FILTER ("
+    f"SELECT '{c}' AS column_name, '{_NUMBERS.get(c, 'string')}' AS data_type, count(*) AS total, count(*) FILTER ("
     + (f"coalesce({c}, '') = ''" if c in ("repo", *_TEXT) else
        f"len({c}) = 0" if c in ("files", "issue_labels") else f"{c} IS NULL") + ") AS missing FROM pairs"
     for c in _COLUMNS)
 
 
 @query(f"""WITH {views.pairs()}, counts AS ({_MISSING_SQL})
-SELECT column_name, total, missing, round(missing * 100e0 / total, 6) AS missing_percent,
+SELECT column_name, data_type, total, missing, round(missing * 100e0 / total, 6) AS missing_percent,
   missing * 100e0 / total > 10 AS flagged FROM counts""")
 def missing_report(spark, sf_dir):
     pairs = standins.pairs(spark, sf_dir)

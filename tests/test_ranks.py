@@ -117,6 +117,12 @@ def test_only_a_small_share_of_a_large_group_is_sorted(spark, monkeypatch):
     assert quantiles.quantiles(df, ["g"], "v", {"m": 0.5}).first().m == 99_999.5
 
 
+def test_a_group_of_missing_keys_is_kept(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("g", 5.0)], "g string, v double")
+    got = {r.g: (r.n, r.m) for r in quantiles.quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert got == {None: (2, 2.0), "g": (1, 5.0)}
+
+
 def predictions(spark, actual, predicted, train=None):
     rows = [("r", i, "m", "test", float(a), float(p)) for i, (a, p) in enumerate(zip(actual, predicted))]
     rows += [("r", 10_000 + i, "m", "train", float(t), 0.0) for i, t in enumerate(train if train is not None else actual)]
