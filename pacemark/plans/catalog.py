@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pacemark.plans import (evaluation_queries, history_queries, model_queries,  # noqa: F401
-                            pair_queries, quality_queries, text_queries)
+                            pair_queries, quality_queries, source_queries, text_queries)
 from pacemark.plans.registry import QUERIES, SQL
 from pacemark.session import prepare
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
-from pacemark.operators import history, keys
+from pacemark.operators import history
 from pacemark.plans import views
 from pacemark.plans.registry import query, tidy
-from pacemark.session import written
-from pacemark.sources import standins
+from pacemark.session import new_table_path, written
+from pacemark.sources import sinks, standins
 from pacemark.sources.schemas import KEY
 
 
@@ -51,9 +51,13 @@ def history_cache_refresh(spark, sf_dir):
     """Pairs created before 1998 are cached; the others form the next batch with its own bound."""
     pairs, own, commits = _tables(spark, sf_dir)
     held = pairs.where(F.col("issue_created_at") < F.lit("1998-01-01").cast("timestamp"))
-    cached = written(history.history_features(held, own, commits), "history_cache")
-    fresh = history.history_features(keys.only_new(pairs, cached, KEY), own, commits)
-    return tidy(keys.newest_wins(cached, fresh, KEY))
+    first, second = new_table_path(spark, "history_cache"), new_table_path(spark, "history_cache")
+
+    def compute(missing):
+        return history.history_features(missing, own, commits)
+
+    sinks.refresh_feature_cache(spark, first, first, held, compute)
+    return tidy(sinks.refresh_feature_cache(spark, first, second, pairs, compute))
 
 
 _SCORES_SQL = """vec AS (

@@ -8,7 +8,9 @@ from pyspark.sql.types import StructType
 
 from pacemark.sources import schemas
 
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+# white space at the ends of a text and microseconds of a time survive the round trip
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+       "ignoreTrailingWhiteSpace": False, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -23,7 +25,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.options(**_CSV).schema(schema).csv(path)
+    return spark.read.options(**CSV, multiLine=True).schema(schema).csv(path)
 
 
 def read_named(spark: SparkSession, folder: str, name: str, schema: StructType | None = None) -> DataFrame:
@@ -33,7 +35,7 @@ def read_named(spark: SparkSession, folder: str, name: str, schema: StructType |
         return spark.read.parquet(parquet)
     if path_exists(spark, csv):
         if schema is None:
-            return spark.read.options(**_CSV, inferSchema=True).csv(csv)
+            return spark.read.options(**CSV, multiLine=True, inferSchema=True).csv(csv)
         return read_csv(spark, csv, schema)
     raise FileNotFoundError(f"neither {parquet} nor {csv} exists")
 

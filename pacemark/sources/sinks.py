@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pacemark.operators import keys
-from pacemark.sources.readers import path_exists
+from pacemark.sources.readers import CSV, path_exists
 from pacemark.sources.schemas import KEY
 
 
@@ -17,6 +17,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV that ``readers`` reads back unchanged, line breaks in texts included."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
+
+
 def write_version(df: DataFrame, folder: str, version: int) -> str:
     """Write a cleaned table next to the one it was read from; earlier versions stay."""
     path = f"{folder}/version={version}"

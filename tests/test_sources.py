@@ -22,12 +22,16 @@ def pair_rows(spark, numbers=(1, 2), repo="r"):
 
 def test_pairs_survive_csv(spark, tmp_path):
     df = pair_rows(spark)
-    (df.write.option("header", True).option("quote", '"').option("escape", '"')
-     .csv(str(tmp_path / "issue_pr_pairs.csv")))
+    sinks.write_csv(df, str(tmp_path / "issue_pr_pairs.csv"))
     back = readers.read_pairs(spark, str(tmp_path))
     assert back.schema == schemas.ISSUE_PAIRS and rows_of(back) == rows_of(df)
 
 
+def test_features_fall_back_to_csv(spark, tmp_path):
+    sinks.write_csv(spark.range(3).withColumn("x", F.col("id") / 2), str(tmp_path / "features.csv"))
+    assert rows_of(readers.read_named(spark, str(tmp_path), "features"), "x") == [(0.0,), (0.5,), (1.0,)]
+
+
 def test_parquet_is_preferred_and_nothing_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="issue_pr_pairs.csv"):
         readers.read_pairs(spark, str(tmp_path))
