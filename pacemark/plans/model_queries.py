@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
-from pacemark.operators import embeddings, learning, scoring, splits
+from pacemark.operators import embeddings, learning, scoring, sensitivity, splits
 from pacemark.plans import views
 from pacemark.plans.registry import query, tidy
 from pacemark.session import new_table_path, written
@@ -134,6 +134,14 @@ def encoder_sweep(spark, sf_dir):
     return tidy(learning.encoder_sweep(both, ["given", "hashed"], fv.TEXT_FEATURES, k=20, budget=_BUDGET))
 
 
+@query()
+def sensitivity_trained(spark, sf_dir):
+    """Models trained anew under two caps and without one, compared under each."""
+    features = written(embeddings.with_vector(standins.feature_table(spark, sf_dir)), "features")
+    budget = learning.Budget(trials=1, folds=2, max_trees=2)
+    return tidy(sensitivity.trained_sensitivity(features, [365, 1000, None], k=10, budget=budget))
+
+
 @query()
 def feature_importance(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
-from pacemark.operators import embeddings, learning, scoring
+from pacemark.operators import embeddings, learning, scoring, sensitivity
 from pacemark.streaming import estimate as stream_estimate
 from pacemark.streaming import ingest
 
@@ -116,7 +116,7 @@ def test_search_space_stays_in_its_ranges():
 
 
 @pytest.fixture(scope="module")
-def training(spark):
+def features(spark):
     rng = np.random.RandomState(1)
     rows = []
     for i in range(300):
@@ -125,8 +125,12 @@ def training(spark):
         rows.append(("r", i, hours, rng.normal(0, 1, 4).tolist(), *text.tolist(), *past.tolist()))
     names = ["repo string", "issue_number long", "duration_hours double", "embedding array<double>"]
     names += [f"{c} double" for c in fv.TEXT_FEATURES + fv.HISTORY_FEATURES]
-    df = embeddings.with_vector(spark.createDataFrame(rows, ", ".join(names)))
-    return learning.training_rows(df)
+    return embeddings.with_vector(spark.createDataFrame(rows, ", ".join(names)))
+
+
+@pytest.fixture(scope="module")
+def training(features):
+    return learning.training_rows(features)
 
 
 @pytest.fixture(scope="module")
@@ -148,6 +152,15 @@ def test_evaluation(trained):
     assert set(got) == {"A", "B", "C"} and all(r.sa > 0 and r.mae > 0 for r in got.values())
 
 
+def test_models_are_trained_anew_under_every_cap(features):
+    budget = learning.Budget(trials=1, folds=2, max_trees=2)
+    table = sensitivity.trained_sensitivity(features, [0, 4, None], k=2, budget=budget).collect()
+    assert sorted(r.threshold for r in table) == ["4d", "no cap"]
+    by = {r.threshold: r for r in table}
+    assert by["no cap"].n_samples == 300 > by["4d"].n_samples >= 50
+    assert all(r.a_vs_c_sig in ("YES", "no", "err") and r.c_mae > 0 for r in table)
+
+
 def test_text_only_without_history(training):
     assert list(learning.variants(with_history=False)) == ["A"]
 
