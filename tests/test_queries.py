@@ -6,9 +6,10 @@ import pytest
 from compare import duck, run
 
 import __spark_entry__ as entry_module
+from pacemark.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 # on the smallest tables the rank test takes its exact path, which the SQL does not have
 NEEDS_MORE_ROWS = {"wilcoxon_test", "model_comparison", "sensitivity_analysis", "sensitivity_verdict"}
 
