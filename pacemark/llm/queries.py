@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import decontamination, exact_dedup, minhash, packing, toxicity
+from pacemark.llm import decontamination, exact_dedup, minhash, packing, separators, toxicity
 from pacemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 ids, filled with lexical neighbours."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents found in flat token streams of all documents, with their token counts."""
+    return separators.document_token_counts(table(spark, sf_dir, "documents"))
