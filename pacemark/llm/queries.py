@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import decontamination, exact_dedup, minhash, packing, separators, toxicity
+from pacemark.llm import decontamination, exact_dedup, minhash, packing, pii, separators, toxicity
 from pacemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents found in flat token streams of all documents, with their token counts."""
     return separators.document_token_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
