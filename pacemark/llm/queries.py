@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacemark.llm import decontamination, exact_dedup, minhash, packing, pii, separators, toxicity
+from pacemark.llm import (decontamination, exact_dedup, minhash, packing, pii, pseudo_likelihood, secret_scan, separators,
+                          toxicity)
 from pacemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,15 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed conditional log-probabilities of the words of all documents."""
+    return pseudo_likelihood.likelihoods(table(spark, sf_dir, "documents"))
