@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacemark.llm import (decontamination, exact_dedup, minhash, packing, pii, pseudo_likelihood, secret_scan, separators,
-                          toxicity)
+                          tool_calls, toxicity)
 from pacemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed conditional log-probabilities of the words of all documents."""
     return pseudo_likelihood.likelihoods(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results that the turns of all conversations stand for, linked, ordered and checked."""
+    calls, results = tool_calls.calls_of_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.standin_schemas(spark))
