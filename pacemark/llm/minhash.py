@@ -8,10 +8,11 @@ instead of ``4 * halves ** 2``. Sets with similarity s meet in some table with p
 * Equal sets are one node, whatever the number of copies.
 * A short key that nobody shares cannot be part of a shared table, so pairs are formed only from
   shared ones.
-* Round one compares the members of a table bucket with two pivots. Round two compares all
-  members of different components of a bucket, in cells of bounded size, except pairs that
-  were compared before. So no link that a bucket offers is lost, and a large group of near
-  copies does not become all its pairs.
+* Round one compares the members of a table bucket with two pivots, and most buckets become one
+  component. Round two compares what is left: buckets with several components that share members
+  are one group, its members are dealt into cells of bounded size, and a task compares a cell as a
+  product of matrices and returns only links that connect components. So no link that a bucket
+  offers is lost, and no pairs are written for a large group of near copies.
 
 A text without words has an empty set and no links. Rows without a key are never linked; their
 component is null. Rows with one key are one document: it has the links of any of its texts.
@@ -27,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacemark.llm.components import components
-from pacemark.llm.text_arrays import constants, mix, pieces, shingle_hashes, shingle_sets, SPACED, word_bounds, word_hashes
+from pacemark.llm.text_arrays import SPACED, constants, mix, pieces, shingle_hashes, shingle_sets, word_bounds, word_hashes
 from pacemark.session import written
 
 HALVES = 10
-#: Members of a bucket that meet in one cell of round two.
-CELL_MEMBERS = 512
+#: Members of a block; two blocks meet in a cell of round two.
+CELL_MEMBERS = 256
 
 _MULTIPLY = constants(4 * 64, 11)
 _ADD = constants(4 * 64, 12)
@@ -101,7 +102,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) ->
     kind = dict(pairs.dtypes)["a"]
     left = texts.select(F.col("row_key").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("row_key").alias("b"), F.col("text").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
     return joined.mapInArrow(_similar(threshold), f"a {kind}, b {kind}, linked boolean")
 
 
@@ -142,28 +143,87 @@ def _ordered(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         .where(_sizes_fit(threshold)).select("a", "b").distinct())
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
-    """Pairs of members of one bucket whose components differ.
+def _open_cells(buckets: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
+    """``node``, ``component`` and the cells it is compared in, for members of buckets with several components.
 
-    A bucket of many members is dealt into blocks; two members meet in the cell of their blocks only.
+    Open buckets that share members make one group. A group is dealt into blocks of about ``cell`` members
+    by hash; a cell holds two blocks, and every two members of a group meet in one cell.
     """
     labelled = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = written(labelled, "labelled")
-    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("bucket"))
-    blocks = F.ceil(F.col("members") / F.lit(cell)).cast("int")
-    dealt = (labelled.join(mixed, "bucket", "left_semi").withColumn("blocks", blocks)
-             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("bucket", "node", "n", "component", "block",
-                     F.least("block", "x").alias("cell_a"), F.greatest("block", "x").alias("cell_b")))
-    at = ["bucket", "cell_a", "cell_b"]
-    other = dealt.select(*at, F.col("node").alias("other"), F.col("n").alias("n_other"),
-                         F.col("component").alias("component_other"), F.col("block").alias("block_other"))
-    # members of the same block meet in all cells of their block: only the block's own cell counts
-    own_cell = (F.col("block") != F.col("block_other")) | (F.col("cell_a") == F.col("cell_b"))
-    return (dealt.join(other, at).where("node < other AND component <> component_other").where(own_cell)
-            .select("node", "n", "other", "n_other"))
+    labelled = written(labelled.select("bucket", "node", "component"), "labelled")
+    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                            F.min("node").alias("first")).where("lo <> hi").select("bucket", "first"))
+    open_ = written(labelled.join(mixed, "bucket"), "open")
+    groups = components(open_, "node", "first").select("node", F.col("component").alias("group"))
+    members = written(open_.select("node", "component").distinct().join(groups, "node"), "members")
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("blocks"))
+    return (members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .select("node", "component", "group", F.least("block", "x").alias("cell_a"),
+                    F.greatest("block", "x").alias("cell_b"), "block"))
+
+
+#: Shingles of a cell whose occurrences are held as a matrix at once.
+_COLUMNS = 4096
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``."""
+    names, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # a shingle of one set is in no intersection
+    place = np.cumsum(seen > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = seen[at] > 1
+    owner, at = owner[keep], place[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(left), len(right)))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
+        a, b = np.searchsorted(at, (lo, lo + _COLUMNS))
+        held = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        held[owner[a:b], at[a:b] - lo] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what a symmetric matrix of links connects."""
+    todo, out = np.ones(len(linked), dtype=bool), []
+    for root in range(len(linked)):
+        if not todo[root]:
+            continue
+        todo[root], queue = False, [root]
+        while queue:
+            i = queue.pop()
+            found = np.flatnonzero(linked[i] & todo)
+            todo[found] = False
+            out += [(i, int(j)) for j in found]
+            queue += found.tolist()
+    return out
+
+
+def _cell_links(cells: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``a``, ``b``: links within each cell that connect members of different components."""
+    kind = dict(cells.dtypes)["node"]
+    above, below = threshold
+
+    def compare(got: pa.Table) -> pa.Table:
+        sets = [s for _, s in shingle_sets(got["text"].combine_chunks())]
+        nodes, component = got["node"].to_pylist(), got["component"].to_numpy(zero_copy_only=False)
+        block, n = got["block"].to_numpy(), np.array([len(s) for s in sets])
+        left = np.flatnonzero(block == got["cell_a"][0].as_py())
+        right = np.flatnonzero(block == got["cell_b"][0].as_py())
+        linked = np.zeros((len(sets), len(sets)), dtype=bool)
+        if len(left) and len(right):
+            both = _common(sets, left, right)
+            near = below * both >= above * (n[left][:, None] + n[right][None, :] - both)
+            linked[np.ix_(left, right)] = near & (component[left][:, None] != component[right][None, :])
+        found = _forest(linked | linked.T)
+        return pa.table({"a": got["node"].take(pa.array([i for i, _ in found], pa.int64())),
+                         "b": pa.array([nodes[j] for _, j in found], type=got["node"].type)})
+
+    joined = cells.join(texts.hint("merge"), cells["node"] == texts["row_key"]).select(*cells.columns, "text")
+    return joined.groupBy("group", "cell_a", "cell_b").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = (80, 100),
@@ -177,22 +237,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
         F.count("*").alias("copies")), "nodes")
     buckets = table_buckets(nodes, halves)
     texts = docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text"))
-
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, f"{name}-pairs")
-        ends = pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct()
-        met = written(texts.join(ends, "row_key", "left_semi"), f"{name}-texts")
-        return written(verified(pairs, met, threshold), f"{name}-links")
-
-    first = check(_ordered(_pivot_pairs(buckets), threshold), "pivot")
-    same_key = _links_of_keys(filled, nodes)
-    links = first.where("linked").select("a", "b").union(same_key)
-    labels = components(links, "a", "b")
-    rest = _ordered(_open_pairs(buckets, labels, cell), threshold).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = check(rest, "open")
-    found = second.where("linked").select("a", "b")
-    if found.take(1):
-        labels = components(links.union(found), "a", "b")
+    # the join does not change its kind with the size, so costs grow as the input does
+    met = buckets.select(F.col("node").alias("row_key")).distinct()
+    met = written(texts.join(met.hint("merge"), "row_key", "left_semi"), "bucket-texts")
+    pairs = written(_ordered(_pivot_pairs(buckets), threshold), "pivot-pairs")
+    first = written(verified(pairs, met, threshold).where("linked").select("a", "b"), "pivot-links")
+    links = first.union(_links_of_keys(filled, nodes))
+    labels = written(components(links, "a", "b"), "components")
+    second = written(_cell_links(_open_cells(buckets, labels, cell), met, threshold), "cell-links")
+    if second.take(1):
+        labels = components(links.union(second), "a", "b")
     labels = written(labels, "components")
     copies = nodes.where("copies > 1").select("d1", "d2", "node")
     out = signed.join(copies, ["d1", "d2"], "left").withColumn(
