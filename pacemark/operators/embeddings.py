@@ -101,8 +101,11 @@ def f_scores(vectors: DataFrame, column: str, target: str) -> DataFrame:
         y.alias("y"), F.posexplode(F.col(column)).alias("element", "x0")).withColumn(
         "x", F.col("x0").cast("double"))
     r = F.corr("x", "y")
+    left = F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0))
+    score = F.col("r") * F.col("r") / left * (F.col("n") - 2)
+    # a perfect correlation leaves nothing to divide by
     return long.groupBy("element").agg(F.count("*").alias("n"), r.alias("r")).select(
-        "element", "n", (F.col("r") * F.col("r") / (1 - F.col("r") * F.col("r")) * (F.col("n") - 2)).alias("f_score"))
+        "element", "n", F.when(F.abs("r") >= 1, F.lit(float("inf"))).otherwise(score).alias("f_score"))
 
 
 def top_elements(summary: CorrelationSummary, k: int) -> list[int]:

@@ -13,9 +13,11 @@ METRICS = ["mae", "mdae", "mre", "pred_25", "pred_50", "r2", "sa"]
 
 
 def errors(predictions: DataFrame) -> DataFrame:
-    """Absolute and relative error next to each prediction."""
+    """Absolute and relative error next to each prediction; NaN hours count as missing."""
     actual, predicted = F.col("actual_hours"), F.col("predicted_hours")
-    return (predictions.withColumn("abs_error", durations.absolute_error(actual, predicted))
+    present = {c: F.when(~F.isnan(c), F.col(c)) for c, kind in predictions.dtypes
+               if c in ("actual_hours", "predicted_hours") and kind in ("double", "float")}
+    return (predictions.withColumns(present).withColumn("abs_error", durations.absolute_error(actual, predicted))
             .withColumn("rel_error", durations.relative_error(actual, predicted)))
 
 

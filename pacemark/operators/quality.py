@@ -118,8 +118,8 @@ def filter_impact(rows: DataFrame, value: str = "duration_hours",
     inside = durations.in_bounds(F.col(value), min_hours, max_days)
     counts = rows.agg(
         F.count_if(inside).alias("kept"), F.count_if(~inside).alias("removed"),
-        (F.count_if(inside) / F.count("*") * 100).alias("kept_percent"),
-        (F.count_if(~inside) / F.count("*") * 100).alias("removed_percent"),
+        (F.count_if(inside) / F.nullif(F.count("*"), F.lit(0)) * 100).alias("kept_percent"),
+        (F.count_if(~inside) / F.nullif(F.count("*"), F.lit(0)) * 100).alias("removed_percent"),
         F.avg(F.when(inside, F.col(value))).alias("kept_mean"))
     median = quantiles.quantiles(rows.where(inside), [], value, {"m": 0.5}).select("m").scalar()
     return counts.withColumn("kept_median", median)

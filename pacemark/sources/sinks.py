@@ -11,10 +11,15 @@ from pacemark.sources.schemas import KEY
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        gathered(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def gathered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of one folder together, so that a task writes few files; adaptive execution splits large folders."""
+    return df.hint("rebalance", *columns)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -31,7 +36,7 @@ def write_version(df: DataFrame, folder: str, version: int) -> str:
 
 def replace_partitions(df: DataFrame, path: str, column: str) -> None:
     """Overwrite only the partitions ``df`` has rows for, in one commit."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (gathered(df, [column]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(column).parquet(path))
 
 
@@ -58,8 +63,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def append_checked(log: DataFrame, new: DataFrame, path: str) -> None:
-    """Add keys to the log of seen items; keys it already holds are not repeated."""
-    keys.only_new(new, log, KEY).write.mode("append").parquet(path)
+    """Add keys to the log of seen items, each once; keys it already holds are not repeated."""
+    keys.only_new(new, log, KEY).dropDuplicates(KEY).write.mode("append").parquet(path)
 
 
 def refresh_feature_cache(spark: SparkSession, cache_path: str, target_path: str,

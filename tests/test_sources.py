@@ -65,7 +65,7 @@ def test_checked_log(spark, tmp_path):
     log = readers.read_checked_log(spark, str(tmp_path / "log.json"), "r")
     assert rows_of(log, "repo", "issue_number") == [("r", 1), ("r", 2)]
     log.write.parquet(str(tmp_path / "keys"))
-    new = spark.createDataFrame([("r", 2, START), ("r", 3, START)], log.schema)
+    new = spark.createDataFrame([("r", 2, START), ("r", 3, START), ("r", 3, START)], log.schema)
     sinks.append_checked(spark.read.parquet(str(tmp_path / "keys")), new, str(tmp_path / "keys"))
     assert rows_of(spark.read.parquet(str(tmp_path / "keys")), "issue_number") == [(1,), (2,), (3,)]
 
