@@ -12,7 +12,8 @@ the smaller weights of all shingles over the sum of the larger ones.
    two within the radius agree on a block, so a join on (size, block, bits) finds all of them.
 3. Found pairs are verified exactly.
 
-Texts and items without words match nothing; an item with fewer than five words is one shingle.
+Texts and items without words match nothing. An item with fewer than five words is one shingle
+and matches only a text of exactly these words, since such phrases occur in clean documents too.
 Rows without a key are not searched. Rows with one key count as one document.
 """
 

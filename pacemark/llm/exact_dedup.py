@@ -130,4 +130,4 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.col(key).alias("_gone"), F.col("text_sha256").alias("_sha"))
     gone = written(gone, "copies").distinct()
     marked = docs.withColumn("_mine", F.sha2(normalised(F.col(text)), 256))
-    return marked.join(gone, (F.col(key) == F.col("_gone")) & (F.col("_mine") == F.col("_sha")), "left_anti").drop("_mine")
+    return marked.join(gone, F.col(key).eqNullSafe(F.col("_gone")) & (F.col("_mine") == F.col("_sha")), "left_anti").drop("_mine")
