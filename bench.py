@@ -20,6 +20,7 @@ HEADLINES = [
     "document_text_features", "page_text_features", "complexity_score", "duration_stats", "repo_breakdown",
     "file_history", "cochange_edges", "history_features", "regression_metrics", "sa_random_exact",
     "model_comparison", "error_by_range", "best_worst_examples", "sensitivity_analysis", "stream_ingest",
+    "train_eval_abc", "batch_score",
 ]
 
 
