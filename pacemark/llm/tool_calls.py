@@ -7,7 +7,8 @@ identifiers they depend on; results a conversation, an identifier, a turn and co
   reported as ``duplicate``; likewise for results, where later ones are left out.
 * The level of a call is the length of its longest chain of dependencies. Chains of calls with one
   dependency are shortened by pointer doubling, so a chain of any length costs a logarithmic number
-  of rounds; calls with several dependencies are then settled level by level. Calls on a cycle, or
+  of rounds. Calls with several dependencies are dealt into blocks of neighbouring turns; a task
+  settles a block, and a further round is needed only where chains cross blocks. Calls on a cycle, or
   behind one, have no level and are ``cyclic``. Dependencies that name no call count for nothing.
 * The position of a call in its conversation follows level, turn and identifier. It is taken from
   one range-partitioned order of all calls, so a conversation of any size needs no single task.
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from pacemark.session import written
 
 _AT = ["conv_id", "call_id"]
+#: Calls with several dependencies that one task settles together.
+BLOCK_CALLS = 20_000
 
 
 def unique_calls(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,8 +49,77 @@ def unique_calls(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, lost
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """``conv_id``, ``call_id``, ``level`` (null on or behind a cycle) of unique calls with ``depends_on``."""
+def _ranked(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with ``rank``, from 0, in one range-partitioned order of all rows."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = written(ordered.withColumn("id", F.monotonically_increasing_id()), "order")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    marked = marked.withColumns({"part": part, "place": place})
+    # one row per partition
+    sizes = marked.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)),
+                                             F.lit(0)).alias("before"))
+    return marked.join(before, "part").select(*rows.columns, (F.col("before") + F.col("place")).alias("rank"))
+
+
+def _settle_block(got: pa.Table) -> pa.Table:
+    """Bases of the nodes of a block whose dependencies are all known, inside it or by ``n`` and ``value`` from outside."""
+    names = list(zip(got["conv_id"].to_pylist(), got["node"].to_pylist()))
+    place = {name: i for i, name in enumerate(names)}
+    missing = (got["k"].to_numpy() - got["n"].to_numpy()).tolist()
+    base = got["value"].to_pylist()
+    followers: list[list[tuple[int, int]]] = [[] for _ in names]
+    for i, inner in enumerate(got["inner"].to_pylist()):
+        for dep in inner or ():
+            followers[place[names[i][0], dep["end"]]].append((i, dep["steps"]))
+    ready = [i for i, m in enumerate(missing) if m == 0]
+    for i in ready:
+        for j, steps in followers[i]:
+            base[j] = max(base[j], base[i] + steps)
+            missing[j] -= 1
+            if missing[j] == 0:
+                ready.append(j)
+    at = pa.array(ready, pa.int64())
+    return pa.table({"conv_id": got["conv_id"].take(at), "end": got["node"].take(at),
+                     "base": pa.array([base[i] for i in ready], pa.int64())})
+
+
+def _settled(waiting: DataFrame, settled: DataFrame, ranked: DataFrame, block: int) -> DataFrame:
+    """``conv_id``, ``end``, ``base`` of ``settled`` and of all nodes that follow from it.
+
+    Nodes are dealt into blocks of ``block`` neighbours in their order. A round settles all that can be
+    settled inside a block at once, and only what crosses blocks waits for the next round.
+    """
+    blocks = written(ranked.select("conv_id", F.col("call_id").alias("node"), F.floor(F.col("rank") / block).alias("block")), "blocks")
+    of_end = blocks.select("conv_id", F.col("node").alias("end"), F.col("block").alias("end_block"))
+    placed = written(waiting.join(blocks, ["conv_id", "node"]).join(of_end, ["conv_id", "end"], "left"), "waiting")
+    here = F.col("block").eqNullSafe(F.col("end_block"))
+    node = ["block", "conv_id", "node"]
+    # a node has at most as many dependencies inside its block as the block has nodes
+    nodes = written(placed.groupBy(*node, "k").agg(F.collect_list(F.when(here, F.struct("end", "steps"))).alias("inner")), "nodes")
+    outer = written(placed.where(~here).select(*node, "end", "steps"), "outer")
+    kinds = dict(blocks.dtypes)
+    new, arrived = settled, None
+    while True:
+        came = (outer.join(new, ["conv_id", "end"])
+                .select(*node, F.lit(1).cast("long").alias("n"), (F.col("base") + F.col("steps")).alias("value")))
+        known = came if arrived is None else arrived.union(came.select(arrived.columns))
+        touched = new.select("conv_id", "end").join(outer, ["conv_id", "end"]).select("block").distinct()
+        arrived = written(known.groupBy(*node).agg(F.sum("n").alias("n"), F.max("value").alias("value")), "arrived")
+        found = (nodes.join(touched, "block", "left_semi").join(arrived, node, "left")
+                 .select(*node, "k", "inner", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("value", F.lit(0)).alias("value"))
+                 .groupBy("block").applyInArrow(_settle_block, f"conv_id {kinds['conv_id']}, end {kinds['node']}, base long"))
+        new = written(found.join(settled.select("conv_id", "end"), ["conv_id", "end"], "left_anti"), "settled")
+        if not new.take(1):
+            return settled
+        settled = written(settled.unionByName(new), "settled")
+
+
+def levels(calls: DataFrame, block: int = BLOCK_CALLS) -> DataFrame:
+    """``conv_id``, ``call_id``, ``level`` (null on or behind a cycle) of unique calls with ``depends_on``.
+
+    With a column ``turn`` blocks follow it; results do not depend on it, nor on ``block``.
+    """
     edges = calls.select(*_AT, F.explode(F.array_distinct("depends_on")).alias("dep"))
     named = calls.select("conv_id", F.col("call_id").alias("dep"))
     edges = written(edges.join(named, ["conv_id", "dep"]), "call-edges")
@@ -77,32 +149,18 @@ def levels(calls: DataFrame) -> DataFrame:
     settled = written(ends.where("k = 0").select("conv_id", "end", F.lit(0).cast("long").alias("base")), "settled")
     several = edges.join(ends.where("k > 1").select("conv_id", F.col("end").alias("call_id"), "k"), _AT)
     waiting = written(several.select("conv_id", F.col("call_id").alias("node"), "k", F.col("dep").alias("call_id"))
-                      .join(hung.select(*_AT, "end", "steps"), _AT).select("conv_id", "node", "k", "end", "steps"), "waiting")
-    while True:
-        ready = (waiting.join(settled, ["conv_id", "end"]).groupBy("conv_id", "node", "k")
-                 .agg(F.count("*").alias("known"), F.max(F.col("base") + F.col("steps") + 1).alias("base"))
-                 .where("known = k").select("conv_id", F.col("node").alias("end"), "base"))
-        new = written(ready.join(settled.select("conv_id", "end"), ["conv_id", "end"], "left_anti"), "settled")
-        if not new.take(1):
-            break
-        settled = written(settled.union(new), "settled")
+                      .join(hung.select(*_AT, "end", "steps"), _AT)
+                      .select("conv_id", "node", "k", "end", (F.col("steps") + 1).alias("steps")), "waiting")
+    order = ["conv_id", *(["turn"] if "turn" in calls.columns else []), "call_id"]
+    several = calls.select(*order).join(ends.where("k > 1").select("conv_id", F.col("end").alias("call_id")), _AT)
+    settled = _settled(waiting, settled, _ranked(several, order), block)
     found = hung.join(settled, ["conv_id", "end"]).select(*_AT, (F.col("base") + F.col("steps")).alias("level"))
     return calls.select(*_AT).join(found, _AT, "left")
 
 
 def positions(calls: DataFrame) -> DataFrame:
     """``conv_id``, ``call_id``, ``position`` from 0 in the order of level, turn and identifier."""
-    ordered = (calls.select(*_AT, "level", "turn")
-               .repartitionByRange("conv_id", F.col("level").asc_nulls_last(), "turn", "call_id")
-               .sortWithinPartitions("conv_id", F.col("level").asc_nulls_last(), "turn", "call_id"))
-    marked = written(ordered.withColumn("id", F.monotonically_increasing_id()), "order")
-    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    marked = marked.withColumns({"part": part, "place": place})
-    # one row per partition
-    sizes = marked.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)),
-                                             F.lit(0)).alias("before"))
-    ranked = marked.join(before, "part").select(*_AT, (F.col("before") + F.col("place")).alias("rank"))
+    ranked = _ranked(calls.select(*_AT, "level", "turn"), ["conv_id", F.col("level").asc_nulls_last(), "turn", "call_id"])
     begin = ranked.groupBy("conv_id").agg(F.min("rank").alias("first"))
     return ranked.join(begin, "conv_id").select(*_AT, (F.col("rank") - F.col("first")).alias("position"))
 
@@ -155,7 +213,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     answers = (results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*_AT)
                .agg(F.min(F.struct(F.col("turn").alias("result_turn"), "content")).alias("r")).select(*_AT, "r.*"))
     answers = written(answers, "results")
-    ordered = written(levels(kept.select(*_AT, "depends_on")).join(kept.select(*_AT, "turn"), _AT), "levels")
+    ordered = written(levels(kept.select(*_AT, "turn", "depends_on")).join(kept.select(*_AT, "turn"), _AT), "levels")
     places = ordered.drop("turn").join(positions(ordered), _AT)
     by_tool = schemas.groupBy("tool").agg(F.collect_list(F.struct("param", "type", "required")).alias("schema"))
     full = (kept.join(answers, _AT, "left").join(places, _AT).join(by_tool, "tool", "left")

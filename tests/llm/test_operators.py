@@ -434,8 +434,10 @@ def test_levels_of_random_graphs(spark):
         for (c, k), d in deps.items():
             if all((c, x) in level for x in d):
                 level[c, k] = max([level[c, x] + 1 for x in d], default=0)
-    got = tool_calls.levels(spark.createDataFrame(calls, "conv_id long, call_id string, depends_on array<string>")).collect()
-    assert {(r.conv_id, r.call_id): r.level for r in got} == {k: level.get(k) for k in deps}
+    table = spark.createDataFrame(calls, "conv_id long, call_id string, depends_on array<string>")
+    for block in (tool_calls.BLOCK_CALLS, 5):
+        got = tool_calls.levels(table, block).collect()
+        assert {(r.conv_id, r.call_id): r.level for r in got} == {k: level.get(k) for k in deps}
 
 
 def test_linking(spark):
