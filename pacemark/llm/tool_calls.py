@@ -129,11 +129,9 @@ def levels(calls: DataFrame, block: int = BLOCK_CALLS) -> DataFrame:
     chain = written(nodes.select(*_AT, F.when(F.col("k") == 1, F.col("dep")).alias("to"),
                                  F.when(F.col("k") == 1, 1).otherwise(0).cast("long").alias("steps")), "chains")
     total = chain.where("to IS NOT NULL").count()
-    for _ in range(math.ceil(math.log2(total + 1)) + 1):
+    for _ in range(math.ceil(math.log2(total + 1)) + 1 if total else 0):
         ahead = chain.where("to IS NOT NULL").select(
             "conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
-        if not ahead.take(1):
-            break
         joined = chain.join(ahead, ["conv_id", "to"], "left")
         done = F.col("next").isNull()
         moved = joined.select(*_AT, F.when(done, F.col("to")).otherwise(F.col("next")).alias("to"),
@@ -153,7 +151,8 @@ def levels(calls: DataFrame, block: int = BLOCK_CALLS) -> DataFrame:
                       .select("conv_id", "node", "k", "end", (F.col("steps") + 1).alias("steps")), "waiting")
     order = ["conv_id", *(["turn"] if "turn" in calls.columns else []), "call_id"]
     several = calls.select(*order).join(ends.where("k > 1").select("conv_id", F.col("end").alias("call_id")), _AT)
-    settled = _settled(waiting, settled, _ranked(several, order), block)
+    if waiting.take(1):
+        settled = _settled(waiting, settled, _ranked(several, order), block)
     found = hung.join(settled, ["conv_id", "end"]).select(*_AT, (F.col("base") + F.col("steps")).alias("level"))
     return calls.select(*_AT).join(found, _AT, "left")
 
