@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
@@ -76,14 +76,14 @@ def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def duration_histogram(rows: DataFrame, value: str = "duration_hours") -> DataFrame:
     """Rows in each of the seven buckets, empty ones included, with their share of all rows."""
-    total = rows.agg(F.count("*").alias("n")).scalar()
+    # at most eight rows are left for the window; rows without a bucket count towards the total
     counts = (rows.groupBy(durations.quality_bucket(F.col(value)).alias("bucket"))
-              .agg(F.count("*").alias("n")))
+              .agg(F.count("*").alias("n"))
+              .withColumn("percent", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100))
     labels = F.array(*[F.lit(label) for _, _, label in fv.QUALITY_BUCKETS])
     every = rows.sparkSession.range(1).select(F.posexplode(labels).alias("bucket_order", "bucket"))
-    n = F.coalesce("n", F.lit(0))
     return every.join(counts, "bucket", "left").select(
-        "bucket_order", "bucket", n.alias("n"), (n / total * 100).alias("percent"))
+        "bucket_order", "bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("percent", F.lit(0.0)).alias("percent"))
 
 
 def repo_breakdown(rows: DataFrame, value: str = "duration_hours") -> DataFrame:
