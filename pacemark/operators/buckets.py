@@ -53,9 +53,9 @@ def error_by_range(predictions: DataFrame, by: list[str]) -> DataFrame:
     rows = bucketed(predictions).withColumnRenamed("actual_bucket", "bucket")
     group = [*by, "bucket"]
     means = rows.groupBy(*group).agg(F.avg("abs_error").alias("mean_error_h"))
-    ranked = quantiles.quantiles(rows, group, "abs_error", {"median_error_h": 0.5, "p90_error_h": 0.9})
-    relative = quantiles.quantiles(rows, group, "rel_error", {"median_rel_error": 0.5}).drop("n")
-    return means.join(ranked, group).join(relative, group).select(
+    ranked = quantiles.quantiles_of(rows, group, {
+        "abs_error": {"median_error_h": 0.5, "p90_error_h": 0.9}, "rel_error": {"median_rel_error": 0.5}})
+    return means.join(ranked, group).select(
         *group, F.col("n").alias("count"), "median_error_h", "mean_error_h", "p90_error_h",
         "median_rel_error")
 

@@ -41,9 +41,8 @@ def text_statistics(pairs: DataFrame, columns: list[str]) -> DataFrame:
         (F.count_if(F.col("chars") > 0) / F.count("*") * 100).alias("non_empty_percent"),
         *[f(c).alias(f"{n}_{c}") for c in ("chars", "words")
           for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))])
-    medians = [quantiles.quantiles(measured, ["column_name"], c, {f"median_{c}": 0.5}).drop("n")
-               for c in ("chars", "words")]
-    return plain.join(medians[0], "column_name").join(medians[1], "column_name")
+    medians = quantiles.quantiles_of(measured, ["column_name"], {c: {f"median_{c}": 0.5} for c in ("chars", "words")})
+    return plain.join(medians.drop("n"), "column_name")
 
 
 def duration_statistics(rows: DataFrame, value: str = "duration_hours") -> DataFrame:

@@ -1,9 +1,11 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, of several columns at once.
 
 ``percentile`` keeps all values of a group in one buffer. Here a sketch first
 brackets each wanted rank; rows outside the brackets only have to be counted, and
-only the few inside are sorted. The result is exact: the sketch's rank error is
-bounded and the brackets are wider than that.
+only those inside are sorted, at most about 1/5000 of a large group per quantile.
+The brackets are stored, so the planner knows their size when the rows meet them.
+The result is exact: the sketch's rank error is bounded and the brackets, whose
+width follows the size of the group, are wider than that.
 """
 
 from __future__ import annotations
@@ -12,32 +14,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacemark.operators.groups import side_by_side
+from pacemark.session import written
 
-_ACCURACY = 50_000        # the sketch is off by at most n / 50000 ranks
-_MARGIN = 0.0001          # bracket half width as a share of n, over 1/_ACCURACY + 2/_SMALL
-_SMALL = 50_000           # smaller groups are not bracketed at all
+_ACCURACY = 50_000        # the sketch is off by less than one rank, or by at most n / 50000 ranks
+_RANKS = 3                # a bracket reaches at least this far to either side
+#: Half widths of brackets as shares of n; a group takes the first that spans ``_RANKS`` ranks.
+_STEPS = (0.0001, 0.001, 0.01, 0.1, 1.0)
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """One row per ``by`` group: ``by``, ``n`` and one exact quantile per entry.
 
-    Nulls are left out; between two ranks the value is interpolated linearly.
-    ``probabilities`` maps output names to probabilities.
+    Nulls and NaN are left out; between two ranks the value is interpolated linearly.
+    ``probabilities`` maps output names to probabilities. Without any value a group
+    gives no row, and an empty list of groups one row without quantiles.
     """
-    by = list(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
+    return _ranked(rows, list(by), probabilities)
+
+
+def quantiles_of(df: DataFrame, by: list[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """One row per ``by`` group: the quantiles of several columns, found together.
+
+    ``wanted`` maps each column to output names with their probabilities; ``n`` counts
+    the values of the first column.
+    """
+    columns = list(wanted)
+    rows = df.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])))
+    shares = {p: f"_p{k}" for k, p in enumerate(sorted({p for w in wanted.values() for p in w.values()}))}
+    ranked = _ranked(rows, [*by, "_i"], {name: p for p, name in shares.items()})
+    picks = [F.max(F.when(F.col("_i") == i, F.col(shares[p]))).alias(name)
+             for i, c in enumerate(columns) for name, p in wanted[c].items()]
+    count = F.coalesce(F.max(F.when(F.col("_i") == 0, F.col("n"))), F.lit(0)).alias("n")
+    return ranked.groupBy(*by).agg(count, *picks)
+
+
+def _brackets(rows: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """``_n`` and, for each share, the edges ``_lo`` and ``_hi`` between which its rank lies."""
+    edges = [min(max(p + sign * step, 0.0), 1.0) for p in shares for sign in (-1, 1) for step in _STEPS]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", edges, _ACCURACY).alias("_edges"))
+    step = F.lit(len(_STEPS) - 1)
+    for k in reversed(range(len(_STEPS) - 1)):
+        step = F.when(F.col("_n") * _STEPS[k] >= _RANKS, F.lit(k)).otherwise(step)
+    edge = [F.get("_edges", step + k * len(_STEPS)) for k in range(2 * len(shares))]
+    return sketch.select(*by, "_n", *[
+        e.alias(f"_{'hi' if k % 2 else 'lo'}{k // 2}") for k, e in enumerate(edge)])
+
+
+def _ranked(values: DataFrame, by: list[str], probabilities: dict[str, float]) -> DataFrame:
     names = sorted(probabilities, key=probabilities.get)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
-    edges = [e for name in names for e in (max(probabilities[name] - _MARGIN, 0.0),
-                                           min(probabilities[name] + _MARGIN, 1.0))]
-    sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"),
-        F.percentile_approx("_v", edges, _ACCURACY).alias("_edges"))
-    small = F.col("_n") <= _SMALL
-    brackets = sketch.select(*by, "_n", *[
-        c for i in range(len(names)) for c in (
-            F.when(small, F.col("_low")).otherwise(F.col("_edges")[2 * i]).alias(f"_lo{i}"),
-            F.when(small, F.col("_high")).otherwise(F.col("_edges")[2 * i + 1]).alias(f"_hi{i}"))])
+    rows = values.where("_v is not null and not isnan(_v)")
+    brackets = written(_brackets(rows, by, [probabilities[n] for n in names]), "brackets")
     placed = side_by_side(rows, brackets, by)
 
     # a value inside a bracket stands for itself (tail 0), one below it is only
@@ -61,6 +89,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str,
         return F.max(F.when(here, F.col("_anchor")))
 
     def found(pick: str) -> Column:
+        # cannot happen while the sketch keeps its bound
         missed = F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double")
         return F.when(F.col("n") > 0, F.coalesce(pick, missed))
 

@@ -90,13 +90,11 @@ def test_identical_errors_give_no_p(spark):
     assert (r.n, r.zeros, r.p_value) == (0, 5, None)
 
 
-@pytest.mark.parametrize("small", [50_000, 200])
-def test_quantiles_are_exact(spark, monkeypatch, small):
-    # with the lower limit, larger groups go through brackets; the margin grows with it
-    monkeypatch.setattr(quantiles, "_SMALL", small)
-    monkeypatch.setattr(quantiles, "_MARGIN", 0.02 if small == 200 else 0.0001)
+def test_quantiles_are_exact(spark):
     rng = np.random.RandomState(6)
-    groups = {"hot": rng.lognormal(2, 1, 6000), "ties": rng.randint(0, 4, 3000).astype(float),
+    # sizes on both sides of every width of the brackets
+    groups = {f"n{n}": rng.lognormal(2, 1, n) for n in (2, 4, 29, 30, 31, 299, 300, 301, 2999, 3000, 3001, 29_999, 30_001, 70_000)}
+    groups |= {"hot": rng.lognormal(2, 1, 6000), "ties": rng.randint(0, 4, 3000).astype(float),
               "few": np.array([5.0, 1.0, 9.0]), "one": np.array([7.0])}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("few", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double").repartition(8)
@@ -110,11 +108,25 @@ def test_quantiles_are_exact(spark, monkeypatch, small):
     assert (whole.n, whole.m) == (len(every), pytest.approx(np.median(every)))
 
 
-def test_only_a_small_share_of_a_large_group_is_sorted(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "_SMALL", 1000)
-    monkeypatch.setattr(quantiles, "_MARGIN", 0.005)
-    df = spark.range(200_000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
-    assert quantiles.quantiles(df, ["g"], "v", {"m": 0.5}).first().m == 99_999.5
+def test_only_a_small_share_of_a_large_group_is_sorted(spark):
+    df = spark.range(200_000).select(F.col("id").cast("double").alias("_v"))
+    assert quantiles.quantiles(df, [], "_v", {"m": 0.5}).first().m == 99_999.5
+    bracket = quantiles._brackets(df, [], [0.5]).first()
+    assert bracket._lo0 <= 99_999 and bracket._hi0 >= 100_000 and bracket._hi0 - bracket._lo0 <= 60
+
+
+def test_quantiles_of_several_columns(spark):
+    rng = np.random.RandomState(9)
+    a, b = rng.normal(size=900), rng.randint(0, 9, 900).astype(float)
+    rows = [("gh"[i % 2], float(x), None if i < 400 else float(y)) for i, (x, y) in enumerate(zip(a, b))] + [("none", None, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    got = {r.g: r for r in quantiles.quantiles_of(df, ["g"], {"a": {"a50": 0.5, "a9": 0.9}, "b": {"b50": 0.5}}).collect()}
+    for g in "gh":
+        x = [r[1] for r in rows if r[0] == g]
+        y = [r[2] for r in rows if r[0] == g and r[2] is not None]
+        assert (got[g].n, got[g].a50, got[g].a9, got[g].b50) == (
+            450, pytest.approx(np.median(x)), pytest.approx(np.percentile(x, 90)), np.median(y))
+    assert "none" not in got
 
 
 def test_a_group_of_missing_keys_is_kept(spark):
