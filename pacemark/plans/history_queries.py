@@ -51,13 +51,13 @@ def history_cache_refresh(spark, sf_dir):
     """Pairs created before 1998 are cached; the others form the next batch with its own bound."""
     pairs, own, commits = _tables(spark, sf_dir)
     held = pairs.where(F.col("issue_created_at") < F.lit("1998-01-01").cast("timestamp"))
-    first, second = new_table_path(spark, "history_cache"), new_table_path(spark, "history_cache")
+    cache = new_table_path(spark, "history_cache")
 
     def compute(missing):
         return history.history_features(missing, own, commits)
 
-    sinks.refresh_feature_cache(spark, first, first, held, compute)
-    return tidy(sinks.refresh_feature_cache(spark, first, second, pairs, compute))
+    sinks.refresh_feature_cache(spark, cache, cache, held, compute)
+    return tidy(sinks.refresh_feature_cache(spark, cache, cache, pairs, compute))
 
 
 _SCORES_SQL = """vec AS (

@@ -69,13 +69,18 @@ def append_checked(log: DataFrame, new: DataFrame, path: str) -> None:
 
 def refresh_feature_cache(spark: SparkSession, cache_path: str, target_path: str,
                           pairs: DataFrame, compute) -> DataFrame:
-    """Compute features for pairs the cache lacks and write cache plus new rows.
+    """Compute features for pairs the cache lacks and keep them.
 
-    ``compute`` gets the missing pairs. The result goes to ``target_path``; the old
-    cache stays readable until nobody needs it. Returned are the rows for ``pairs``.
+    ``compute`` gets the missing pairs, each once. With one path for both, their rows are added to the
+    cache and nothing else is written. With two, cache plus new rows go to ``target_path`` and the old
+    cache stays as it is. Returned are the rows for ``pairs``.
     """
     if path_exists(spark, cache_path):
         cached = spark.read.parquet(cache_path)
+        if target_path == cache_path:
+            fresh = compute(keys.only_new(pairs, cached, KEY).dropDuplicates(KEY))
+            gathered(fresh, ["repo"]).write.mode("append").partitionBy("repo").parquet(target_path)
+            return spark.read.parquet(target_path).join(pairs.select(*KEY).distinct(), KEY, "left_semi")
         merged = keys.newest_wins(cached, compute(keys.only_new(pairs, cached, KEY)), KEY)
     else:
         merged = compute(pairs)

@@ -105,6 +105,10 @@ def test_feature_cache_computes_only_what_is_missing(spark, tmp_path):
     second = sinks.refresh_feature_cache(spark, str(tmp_path / "v1"), str(tmp_path / "v2"), pair_rows(spark, (2, 3)), compute)
     assert rows_of(second, "repo", "issue_number", "x") == [("r", 2, 20), ("r", 3, 30)]
     assert asked[1] == [(3,)] and spark.read.parquet(str(tmp_path / "v2")).count() == 3
+    before = set((tmp_path / "v2").rglob("*.parquet"))
+    third = sinks.refresh_feature_cache(spark, str(tmp_path / "v2"), str(tmp_path / "v2"), pair_rows(spark, (3, 4, 4)), compute)
+    assert rows_of(third, "repo", "issue_number", "x") == [("r", 3, 30), ("r", 4, 40)]
+    assert asked[2] == [(4,)] and before < set((tmp_path / "v2").rglob("*.parquet"))
 
 
 def test_predictions_metrics_and_reports(spark, tmp_path):
