@@ -46,11 +46,6 @@ def prediction_bucket(hours: Column) -> Column:
         F.lit(fv.PREDICTION_BUCKETS[-1][2]))
 
 
-def prediction_bucket_order(hours: Column) -> Column:
-    return _bucket(hours, fv.PREDICTION_BUCKETS, lambda i, _: i).otherwise(
-        F.lit(len(fv.PREDICTION_BUCKETS) - 1))
-
-
 def quality_bucket(hours: Column) -> Column:
     """Seven-way bucket of the quality report; null when nothing matches."""
     return _bucket(hours, fv.QUALITY_BUCKETS, lambda _, label: label)

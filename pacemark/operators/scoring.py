@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
 from pacemark.functions import durations
-from pacemark.operators import learning
+from pacemark.operators import embeddings, history, learning, text_features
 from pacemark.operators.unions import stacked
 from pacemark.sources.readers import path_exists
 from pacemark.sources.schemas import KEY
+from pacemark.sources.sinks import write_metrics
 
 
 def save_bundle(trained: learning.Trained, folder: str) -> str:
-    """Scaler, reducer, assembler and trees as one pipeline."""
+    """Scaler, reducer, assembler and trees as one pipeline; beside it what it was fitted with and its metrics.
+
+    The second table has one row per split: model, split, metrics, ``feature_names`` and ``params`` (JSON).
+    """
     path = f"{folder}/model_{trained.name.lower()}"
     trained.model.write().overwrite().save(path)
+    about = learning.split_metrics({trained.name: trained}).withColumns({
+        "feature_names": F.array(*[F.lit(n) for n in trained.feature_names]),
+        "params": F.lit(json.dumps(trained.params, sort_keys=True))})
+    write_metrics(about, f"{path}_about")
     return path
 
 
@@ -30,6 +40,10 @@ class Bundles:
     def available(self, name: str) -> bool:
         return path_exists(self._spark, f"{self._folder}/model_{name.lower()}")
 
+    def about(self, name: str) -> DataFrame | None:
+        """Metrics of both splits, feature names and settings of a saved model."""
+        return self._spark.read.json(f"{self._folder}/model_{name.lower()}_about") if self.available(name) else None
+
     def get(self, name: str) -> PipelineModel | None:
         if name not in self._loaded and self.available(name):
             self._loaded[name] = PipelineModel.load(f"{self._folder}/model_{name.lower()}")
@@ -43,6 +57,23 @@ def without_history(rows: DataFrame, has_history: str = "has_history") -> DataFr
     return rows.withColumns(kept).withColumn("used_real_features", known)
 
 
+def raw_features(new: DataFrame, vectors: DataFrame, center: DataFrame, commit_files: DataFrame,
+                 vector: str = "embedding") -> DataFrame:
+    """Rows ready for ``estimate_all`` from title, body, list of files and repo.
+
+    ``new`` has the key, ``issue_title``, ``issue_body``, ``pr_files_changed`` and ``issue_created_at``;
+    ``vectors`` a vector per key; ``center`` is the centroid of the training vectors. Rows of repos without
+    commits get zeros for their history, rows without a vector are left out.
+    """
+    texts = text_features.derived_features(new, KEY, F.col("issue_title"), F.col("issue_body"))
+    scored = embeddings.complexity_scores(vectors.select(*KEY, vector), vector, center)
+    past = history.history_features(new, history.files_of_pairs(new), commit_files)
+    repos = commit_files.select("repo").distinct().withColumn("has_history", F.lit(True))
+    rows = (texts.join(scored, KEY).join(past, KEY).join(repos, "repo", "left")
+            .withColumn("has_history", F.coalesce("has_history", F.lit(False))))
+    return without_history(embeddings.with_vector(rows, vector))
+
+
 def estimate(rows: DataFrame, model: PipelineModel | None, names: list[str], name: str) -> DataFrame:
     """Hours and tier per row; a model that was never trained gives null and the reason."""
     if model is None:

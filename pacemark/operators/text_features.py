@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pacemark.functions import text
 
 
-def derived_features(rows: DataFrame, key: list[str], title: Column, body: Column) -> DataFrame:
-    """The derived text features of each row, without the complexity score."""
-    texts = rows.select(*key, text.requirement_text(title, body).alias("_text"))
+def derived_features(rows: DataFrame, key: list[str], title: Column, body: Column,
+                     *more: Column) -> DataFrame:
+    """The derived text features of each row, without the complexity score; ``more`` are further texts, such as those of the
+    pull request."""
+    texts = rows.select(*key, text.requirement_text(title, body, *more).alias("_text"))
     # the words are split once and then only counted and matched
     split = texts.select(*key, text.text_length(F.col("_text")).alias("text_length"),
                          text.cross_reference_count(F.col("_text")).alias("cross_ref_density"),

@@ -16,8 +16,10 @@ from pacemark.sources.schemas import KEY
 from pacemark.streaming import estimate as stream_estimate
 from pacemark.streaming import ingest
 
-# the ranges of the search allow far more; a registered query has to end soon
-_BUDGET = learning.Budget(trials=1, folds=2, max_trees=5)
+#: Budgets of the registered queries: one setting of five trees, where the operators' own is 50 settings of 100 to 1000
+#: trees in five folds. Two folds where only test rows or the final model count.
+_BUDGET = learning.Budget(trials=1, trees=(5, 5))
+_FINAL_ONLY = learning.Budget(trials=1, folds=2, trees=(5, 5))
 _MAX_DAYS = 2500
 
 
@@ -104,9 +106,9 @@ def train_eval_abc(spark, sf_dir):
 
 @query()
 def hyperparameter_search(spark, sf_dir):
-    """The settings that were tried and their cross-validated error on the log target."""
+    """The settings that were tried and their cross-validated error on the log target; three settings of two to six trees."""
     rows = _training_rows(spark, sf_dir)
-    budget = learning.Budget(trials=3, folds=2, max_trees=3)
+    budget = learning.Budget(trials=3, trees=(2, 6))
     tried = learning.train_variant(rows, "B", fv.HISTORY_FEATURES, budget=budget).scores
     return tidy(spark.createDataFrame(
         [(i, t["maxIter"], t["maxDepth"], t["stepSize"], float(t["log_mae"])) for i, t in enumerate(tried)],
@@ -116,7 +118,7 @@ def hyperparameter_search(spark, sf_dir):
 @query()
 def reducer_sweep(spark, sf_dir):
     settings = [(method, k) for method in ("pca", "pls", "topk") for k in (20, 50)] + [("none", None)]
-    return tidy(learning.sweep(_training_rows(spark, sf_dir), settings, fv.TEXT_FEATURES, _BUDGET))
+    return tidy(learning.sweep(_training_rows(spark, sf_dir), settings, fv.TEXT_FEATURES, _FINAL_ONLY))
 
 
 @query()
@@ -131,14 +133,14 @@ def encoder_sweep(spark, sf_dir):
              .drop("doc_id", "embedding_vector").withColumnRenamed("hashed", "embedding_vector"))
     both = (rows.withColumn("encoder", F.lit("given"))
             .unionByName(other.withColumn("encoder", F.lit("hashed"))))
-    return tidy(learning.encoder_sweep(both, ["given", "hashed"], fv.TEXT_FEATURES, k=20, budget=_BUDGET))
+    return tidy(learning.encoder_sweep(both, ["given", "hashed"], fv.TEXT_FEATURES, k=20, budget=_FINAL_ONLY))
 
 
 @query()
 def sensitivity_trained(spark, sf_dir):
-    """Models trained anew under two caps and without one, compared under each."""
+    """Models trained anew under two caps and without one, compared under each; two folds and two trees per model."""
     features = written(embeddings.with_vector(standins.feature_table(spark, sf_dir)), "features")
-    budget = learning.Budget(trials=1, folds=2, max_trees=2)
+    budget = learning.Budget(trials=1, folds=2, trees=(2, 2))
     return tidy(sensitivity.trained_sensitivity(features, [365, 1000, None], k=10, budget=budget))
 
 
@@ -146,13 +148,13 @@ def sensitivity_trained(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
     return tidy(learning.feature_importance(
-        learning.train_variant(rows, "B", fv.HISTORY_FEATURES, budget=_BUDGET)))
+        learning.train_variant(rows, "B", fv.HISTORY_FEATURES, budget=_FINAL_ONLY)))
 
 
 @query()
 def permutation_importance(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
-    trained = learning.train_variant(rows, "B", fv.HISTORY_FEATURES, budget=_BUDGET)
+    trained = learning.train_variant(rows, "B", fv.HISTORY_FEATURES, budget=_FINAL_ONLY)
     return tidy(learning.permutation_importance(trained, rows))
 
 
@@ -164,7 +166,7 @@ def batch_score(spark, sf_dir):
     variants = learning.variants()
     for name in ("A", "B"):
         columns, method = variants[name]
-        scoring.save_bundle(learning.train_variant(rows, name, columns, method, budget=_BUDGET), folder)
+        scoring.save_bundle(learning.train_variant(rows, name, columns, method, budget=_FINAL_ONLY), folder)
     known = scoring.without_history(rows.withColumn("has_history", F.col("total_churn_commits") > 0))
     return tidy(scoring.estimate_all(known, scoring.Bundles(spark, folder)))
 
@@ -189,7 +191,7 @@ def stream_ingest(spark, sf_dir):
 def stream_score(spark, sf_dir):
     """Feature rows arrive as a stream and get the estimate of a trained model."""
     rows = _training_rows(spark, sf_dir)
-    trained = learning.train_variant(rows, "B", fv.HISTORY_FEATURES, budget=_BUDGET)
+    trained = learning.train_variant(rows, "B", fv.HISTORY_FEATURES, budget=_FINAL_ONLY)
     inbox = new_table_path(spark, "arriving")
     rows.select(*KEY, *fv.HISTORY_FEATURES).write.parquet(inbox)
     arrivals = ingest.read_arrivals(spark, inbox, spark.read.parquet(inbox).schema)

@@ -1,5 +1,7 @@
 """Vector reduction against numpy; training, scoring and importance end to end."""
 
+import json
+
 import numpy as np
 import pytest
 from conftest import rows_of
@@ -11,7 +13,7 @@ from pacemark.operators import embeddings, learning, scoring, sensitivity
 from pacemark.streaming import estimate as stream_estimate
 from pacemark.streaming import ingest
 
-BUDGET = learning.Budget(trials=1, folds=2, max_trees=4)
+BUDGET = learning.Budget(trials=1, folds=2, trees=(4, 4))
 
 
 @pytest.fixture(scope="module")
@@ -153,7 +155,7 @@ def test_evaluation(trained):
 
 
 def test_models_are_trained_anew_under_every_cap(features):
-    budget = learning.Budget(trials=1, folds=2, max_trees=2)
+    budget = learning.Budget(trials=1, folds=2, trees=(2, 2))
     table = sensitivity.trained_sensitivity(features, [0, 4, None], k=2, budget=budget).collect()
     assert sorted(r.threshold for r in table) == ["4d", "no cap"]
     by = {r.threshold: r for r in table}
@@ -175,7 +177,10 @@ def test_saved_models_score_the_same(spark, trained, training, tmp_path):
     for name in ("A", "B"):
         scoring.save_bundle(trained[name], str(tmp_path))
     bundles = scoring.Bundles(spark, str(tmp_path))
-    assert bundles.available("A") and not bundles.available("C")
+    assert bundles.available("A") and not bundles.available("C") and bundles.about("C") is None
+    about = {r.split: r for r in bundles.about("B").collect()}
+    assert about["test"].feature_names == trained["B"].feature_names and json.loads(about["test"].params)["maxIter"] == 4
+    assert about["train"].n + about["test"].n == training.count() and about["train"].mae > 0
     out = {(r.model, r.issue_number): r for r in scoring.estimate_all(training, bundles).collect()}
     assert out["C", 0].hours is None and out["C", 0].error == "Model not trained yet"
     test_rows = trained["B"].predictions.where("split = 'test'").collect()
@@ -205,6 +210,27 @@ def test_rows_without_history_keep_the_number_of_files(training):
     assert known.fan_in > 0 and known.used_real_features
 
 
+def test_new_rows_are_scored_from_title_body_and_files(spark, trained):
+    new = spark.createDataFrame(
+        [("r", 1, "Add api", "must be fast", "a.py|b.py", "2024-03-01"), ("new", 2, "Fix", None, "c.py", "2024-03-02")],
+        "repo string, issue_number long, issue_title string, issue_body string, pr_files_changed string, at string")
+    new = new.withColumn("issue_created_at", F.to_timestamp("at"))
+    commits = spark.createDataFrame(
+        [("r", "c1", "a.py", 5, 1, "2024-02-01"), ("r", "c1", "x.py", 2, 0, "2024-02-01"), ("r", "c2", "a.py", 1, 1, "2023-01-01")],
+        "repo string, commit_id string, path string, added long, deleted long, at string")
+    commits = commits.withColumn("committed_at", F.to_timestamp("at"))
+    vectors = spark.createDataFrame([("r", 1, [1.0, 0.0, 0.0, 0.0]), ("new", 2, [0.0, 1.0, 0.0, 0.0])],
+                                    "repo string, issue_number long, embedding array<double>")
+    center = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0],)], "centroid array<double>")
+    rows = scoring.raw_features(new, vectors, center, commits)
+    old, fresh = (rows.where(f"issue_number = {i}").first() for i in (1, 2))
+    assert (old.total_churn_added, old.total_churn_commits, old.complexity_score, old.word_count) == (5, 1, 0.0, 5)
+    assert (fresh.total_churn_added, fresh.complexity_score, fresh.used_real_features) == (0, 1.0, False)
+    assert (old.num_files, fresh.num_files) == (2, 1)
+    out = scoring.estimate(rows, trained["C"].model, fv.TEXT_FEATURES + fv.HISTORY_FEATURES, "C").collect()
+    assert len(out) == 2 and all(r.hours >= 0 for r in out)
+
+
 def test_stream_scores_like_the_batch(spark, trained, training, tmp_path):
     inbox, target, checkpoint = (str(tmp_path / n) for n in ("inbox", "target", "checkpoint"))
     training.select("repo", "issue_number", *fv.HISTORY_FEATURES).repartition(3).write.parquet(inbox)
