@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
 from pacemark.operators import embeddings, learning, scoring, sensitivity, splits
+from pacemark.operators.unions import stacked
 from pacemark.plans import views
 from pacemark.plans.registry import query, tidy
 from pacemark.session import new_table_path, written
@@ -179,11 +180,19 @@ _LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_qua
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(_LINE_ORDER)}) AS place
   FROM lineitem) WHERE place = 1""")
 def stream_ingest(spark, sf_dir):
-    """Lines arrive as a stream of files; each key is kept once."""
-    schema = read_table(spark, sf_dir, "lineitem").select(*_LINE_KEY, *_LINE_ORDER).schema
-    arrivals = ingest.read_arrivals(spark, f"{sf_dir}/lineitem.parquet*", schema)
-    target = new_table_path(spark, "ingested")
-    ingest.start_ingest(arrivals, target, f"{target}-checkpoint", _LINE_KEY, _LINE_ORDER).awaitTermination()
+    """All lines arrive in three deliveries, each a micro-batch; each key is kept once.
+
+    Later deliveries bring the lines of the one before again, with another quantity; the held ones stay.
+    """
+    lines = read_table(spark, sf_dir, "lineitem").select(*_LINE_KEY, *_LINE_ORDER)
+    kind = dict(lines.dtypes)["l_quantity"]
+    delivery = F.pmod(F.col("l_orderkey"), F.lit(3))
+    inbox, target = new_table_path(spark, "arriving"), new_table_path(spark, "ingested")
+    for i in range(3):
+        again = lines.where(delivery == i - 1).withColumn("l_quantity", (F.col("l_quantity") + 1).cast(kind))
+        stacked(lines.where(delivery == i), again).write.mode("append").parquet(inbox)
+        ingest.start_ingest(ingest.read_arrivals(spark, inbox, lines.schema), target, f"{target}-checkpoint",
+                            _LINE_KEY, _LINE_ORDER).awaitTermination()
     return tidy(spark.read.parquet(target).drop("ingest_batch", "l_shipdate"))
 
 
