@@ -64,20 +64,21 @@ def partial_saves(spark, sf_dir):
     return spark.read.parquet(path).select(*KEY, "merged_us")
 
 
-@query("""SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(embedding[:32]::DOUBLE[]), 5) + 0e0 AS total
-FROM embeddings""")
+@query("""SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n,
+  round(list_sum(list_transform(list_reverse(embedding), lambda x, i: x::DOUBLE * i)), 5) + 0e0 AS total FROM embeddings""")
 def encoder_feature_store(spark, sf_dir):
-    """Features of two encoders side by side; a reader scans the partition of one."""
+    """Features of two encoders side by side; a reader scans the partition of one. The second reverses the vectors."""
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     path = new_table_path(spark, "features")
-    half = vectors.withColumn("embedding", F.slice("embedding", 1, 32))
-    for name, features in (("given", vectors), ("half", half)):
+    turned = vectors.withColumn("embedding", F.reverse("embedding"))
+    for name, features in (("given", vectors), ("reversed", turned)):
         slug = parsing.encoder_slug(F.lit(f"some org/{name}"))
         sinks.save_encoder_features(features.withColumn("encoder", slug), path)
     full = readers.read_features(spark, path, "some_org__given").select("vec_id", F.size("embedding").alias("n"))
-    total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
-    short = readers.read_features(spark, path, "some_org__half").select("vec_id", total.alias("total"))
-    return tidy(full.join(short, "vec_id"), 5)
+    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda t, x: t + x)
+    other = readers.read_features(spark, path, "some_org__reversed").select("vec_id", total.alias("total"))
+    return tidy(full.join(other, "vec_id"), 5)
 
 
 @query(f"""WITH {views.PREDICTIONS}
