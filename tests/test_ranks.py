@@ -196,3 +196,14 @@ def test_report_covers_every_pair_and_skips_unequal_test_sets(spark):
             ((x[:, None] > y).sum() - (x[:, None] < y).sum()) / len(x) / len(y))
         assert r.better_model == (r.model_1 if x.mean() < y.mean() else r.model_2)
     assert comparison.comparison_report(df.where("model = 'A'"), ["A", "B"]).count() == 0
+
+
+def test_the_normal_p_can_be_asked_for(spark):
+    d = [1.0, -2.0, 3.0, 4.0, 5.0, -6.0, 7.0, 8.0]
+    df = spark.createDataFrame([("g", max(x, 0.0), max(-x, 0.0)) for x in d], "g string, error_1 double, error_2 double")
+    auto, normal = (comparison.wilcoxon(df, ["g"], m).first() for m in ("auto", "normal"))
+    z = (8 - 8 * 9 / 4) / math.sqrt(8 * 9 * 17 / 24)
+    assert normal.p_value == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+    assert auto.p_value == pytest.approx(50 / 256)
+    with pytest.raises(ValueError, match="unknown method"):
+        comparison.wilcoxon(df, ["g"], "other")
