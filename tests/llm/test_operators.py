@@ -401,6 +401,28 @@ def test_pseudo_likelihood(spark, docs, none):
     assert pseudo_likelihood.likelihoods(none).count() == 0
 
 
+def test_every_word_has_a_probability_of_its_own(spark):
+    """Rare words swapped for others of their length change the score, and probabilities add up over the vocabulary."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(1, 301), k=50))) for i in range(200)]
+    rows += [(1000, " ".join(vocabulary[-20:])), (1001, " ".join(f"zzz{i:03}" for i in range(20)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    for common in (1 << 17, 100, 0):
+        words, counts = pseudo_likelihood.frequent_words(table, "text", common=common)
+        assert len(words.common) <= common
+        net = pseudo_likelihood.Network.initial(counts)
+        found.append({r.doc_id: r.log_likelihood for r in pseudo_likelihood.score(table, net, words, "doc_id", "text").collect()})
+        tops = spark.createDataFrame([(w, w) for w in {w for _, t in rows for w in t.split()}], "doc_id string, text string")
+        single = pseudo_likelihood.score(tops, net, words, "doc_id", "text")
+        mass = single.agg(F.sum(F.exp("log_likelihood"))).first()[0]
+        assert 0.8 < mass <= 1
+    assert found[0].keys() == found[1].keys() == found[2].keys()
+    assert all(abs(found[0][k] - f[k]) < 1e-6 for f in found for k in f)
+    assert found[0][1000] > found[0][1001] + 20
+
+
 def test_network_gradient():
     """A step follows the numerical gradient of the mean log probability."""
     rng = np.random.default_rng(0)
