@@ -10,7 +10,9 @@ the smaller weights of all shingles over the sum of the larger ones.
    have false hits, which cost time, and no false misses.
 2. Every remaining window gets a 64-bit SimHash. Fingerprints are cut into ``radius + 1`` blocks;
    two within the radius agree on a block, so a join on (size, block, bits) finds all of them.
-3. Found pairs are verified exactly.
+3. A similar pair may lie beyond the radius. It shares more weight than all shingles of the item but the
+   rarest that weigh more than ``1 - threshold`` of it, so it shares one of these: a join on them finds the rest.
+4. Found pairs are verified exactly, so all windows of step 1 that reach the threshold are reported.
 
 Texts and items without words match nothing. An item with fewer than five words is one shingle
 and matches only a text of exactly these words, since such phrases occur in clean documents too.
@@ -23,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacemark.llm.text_arrays import PLAIN, SHINGLE_WORDS, constants, mix, pieces, shingle_hashes, word_bounds, word_hashes
 from pacemark.session import written
 
-#: Largest Hamming distance of fingerprints that is searched; one block more than this cuts 64 bits.
+#: Largest Hamming distance of fingerprints that is searched; one block more than this cuts 64 bits. It decides no result.
 RADIUS = 15
 #: Bits of either bitmap: 1 MB, whatever the number of items.
 FILTER_BITS = 23
@@ -191,6 +193,32 @@ def within_radius(found: DataFrame, items: DataFrame, radius: int = RADIUS) -> D
     return pairs.where((F.col("distance") <= radius) & ~earlier).select("row_key", "start", "length", "item_id", "distance")
 
 
+def rarest_shingles(items: DataFrame, threshold: float) -> DataFrame:
+    """``item_id``, ``length``, ``item_print``, ``shingle``: of each item, its rarest shingles that weigh more than
+    ``1 - threshold`` of it. What shares none of them has a similarity below the threshold."""
+    each = (items.withColumn("item_row", F.monotonically_increasing_id())
+            .select("item_row", "item_id", "length", "weight", F.col("fingerprint").alias("item_print"),
+                    F.explode(F.arrays_zip("shingles", "weights")).alias("x"))
+            .groupBy("item_row", "item_id", "length", "weight", "item_print", F.col("x.shingles").alias("shingle"))
+            .agg(F.sum("x.weights").alias("w")))
+    each = written(each, "item-shingles")
+    counted = each.groupBy("length", "shingle").agg(F.count("*").alias("n"))
+    rarest_first = Window.partitionBy("item_row").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("w").over(rarest_first), F.lit(0))
+    # a hair more than the share, for rounding
+    return (each.join(counted, ["length", "shingle"]).withColumn("before", before)
+            .where(F.col("before") <= (1 - threshold + 1e-6) * F.col("weight"))
+            .select("item_id", "length", "item_print", "shingle"))
+
+
+def sharing_rare(found: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a window and an item of its size that share one of the item's rarest shingles, once per shingle."""
+    left = found.select("row_key", "start", "length", "fingerprint", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
+    return (left.join(rarest_shingles(items, threshold), ["length", "shingle"])
+            .select("row_key", "start", "length", "item_id", distance.alias("distance")))
+
+
 def _weighted_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = []
@@ -211,7 +239,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: st
     """
     prepared = written(item_table(items.where(F.col(item_key).isNotNull()), item_key, item_text), "items")
     found = written(windows(docs, prepared, key, text, threshold, filter_bits), "windows")
-    pairs = written(within_radius(found, prepared, radius), "window-pairs").distinct()
+    near, rare = within_radius(found, prepared, radius), sharing_rare(found, prepared, threshold)
+    pairs = written(near.unionByName(rare).distinct(), "window-pairs")
     joined = (pairs.join(found.select("row_key", "start", "length", "shingles", "weights"), ["row_key", "start", "length"])
               .join(prepared.select("item_id", F.col("shingles").alias("s"), F.col("weights").alias("w")), "item_id")
               .select("row_key", "item_id", "start", "length", "distance", "shingles", "weights", "s", "w"))

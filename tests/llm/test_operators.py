@@ -174,6 +174,32 @@ def test_all_fingerprints_within_the_radius_are_found(spark):
     assert sorted(map(tuple, got)) == sorted(x for x in want if x[2] <= 15)
 
 
+def test_passages_beyond_the_radius_are_found(spark):
+    """Every pair that reaches the threshold is found, however far its fingerprints are apart."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 11)))
+    items, texts = [], []
+    for i in range(500):
+        words = [word() for _ in range(rng.randint(44, 54))]
+        at = rng.randrange(5, len(words) - 5)
+        items.append((i, " ".join(words)))
+        texts.append((i, " ".join(words[:at] + [word()] + words[at + 1:])))
+
+    def weights(text):
+        w = text.split()
+        return collections.Counter({tuple(w[i:i + 5]): sum(map(len, w[i:i + 5])) for i in range(len(w) - 4)})
+
+    want = set()
+    for (i, a), (_, b) in zip(items, texts):
+        x, y = weights(a), weights(b)
+        if (x & y).total() >= 0.8 * (x | y).total():
+            want.add(i)
+    got = decontamination.matches(spark.createDataFrame(texts, "doc_id long, text string"),
+                                  spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in want} and len(want) > 100
+    assert max(r.distance for r in got) > decontamination.RADIUS
+
+
 PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
        ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
