@@ -4,10 +4,10 @@
   sequences by themselves; only the rest (shorter than a window) is packed.
 * Rests are dealt evenly over shards of about ``shard_rests`` rows, whose number grows with the
   input. Token document frequencies, their number and mean length are counted over all rests.
-* Each shard holds a BM25 inverted index over its rests. A seed (the first unused rest) asks it for
-  unused neighbours; those that fit enter in order of their score, and the best of what is
-  left is cut to fill the window to the last id. Without scored neighbours the next unused
-  rest follows. So only the last sequence of a shard can be padded.
+* Each shard holds a BM25 inverted index over its rests. A seed (the first unused rest) asks it with all its
+  tokens for unused neighbours; all that fit enter in order of their score, and the best of what is
+  left is cut to fill the window to the last id. Only when no unused rest shares a token with the seed,
+  the next unused rest follows. A seed asks no other shard. So only the last sequence of a shard can be padded.
 
 Null and empty texts are the end id alone. Rows with the same key, or none, are packed one by one.
 Ties of scores go to the earlier rest; rests are ordered by row.
@@ -28,10 +28,10 @@ from pacemark.llm.tokens import DEFAULT_VOCABULARY, encoder
 from pacemark.session import written
 
 WINDOW, END_ID, SHARD_RESTS = 1024, 0, 2048
-#: BM25: saturation, length share, and the rarest tokens of a seed that are asked for.
-K1, B, QUERY_TOKENS = 1.2, 0.75, 24
-#: Neighbours of a seed that are tried whole before one is cut.
-TRIED = 64
+#: BM25: saturation and length share.
+K1, B = 1.2, 0.75
+#: Tokens in more than this part of a shard's rests have a row of all rests instead of a posting list.
+DENSE = 1 / 32
 #: First sequence number of packed rests; whole windows are numbered from below.
 _PACKED = 1 << 62
 
@@ -104,20 +104,26 @@ class Shard:
         self.weight = weight * idf[token]
         self.tokens, self.first = np.unique(token, return_index=True)
         self.first = np.append(self.first, len(token))
+        self.row = np.full(len(self.tokens), -1)
+        often = np.flatnonzero(np.diff(self.first) > DENSE * len(rests))
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(rests)))
+        for k, t in enumerate(often):
+            span = slice(self.first[t], self.first[t + 1])
+            self.dense[k, self.doc[span]] = self.weight[span]
 
     def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused rests that share a query token with the seed, best first."""
-        asked = np.unique(seed)
-        asked = asked[np.argsort(-self.idf[asked], kind="stable")[:QUERY_TOKENS]]
-        at = np.searchsorted(self.tokens, asked)
-        spans = [slice(self.first[a], self.first[a + 1]) for a in at]
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]),
-                             weights=np.concatenate([self.weight[s] for s in spans]), minlength=len(self.rests))
-        scores[~unused] = 0
-        found = np.flatnonzero(scores > 0)
-        if len(found) > 4 * TRIED:
-            floor = np.partition(scores[found], -TRIED)[-TRIED]
-            found = found[scores[found] >= floor]
+        """Unused rests that share a token with the seed, best first."""
+        at = np.searchsorted(self.tokens, np.unique(seed))
+        rows = self.row[at]
+        scores = np.zeros(len(self.rests))
+        for k in rows[rows >= 0]:
+            scores += self.dense[k]
+        spans = [slice(self.first[a], self.first[a + 1]) for a in at[rows < 0]]
+        if spans:
+            scores += np.bincount(np.concatenate([self.doc[s] for s in spans]),
+                                  weights=np.concatenate([self.weight[s] for s in spans]), minlength=len(self.rests))
+        found = np.flatnonzero((scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")]
 
 
@@ -146,7 +152,10 @@ def fill(rests: list[np.ndarray], window: int, idf: np.ndarray, mean: float) ->
 
         yield take(seed, int(left[seed]))
         best = index.neighbours(rests[seed], unused)
+        shortest = int(left[best].min()) if len(best) else 0
         for i in best:
+            if window - offset < shortest:
+                break
             if left[i] <= window - offset:
                 yield take(int(i), int(left[i]))
         onward = iter([i for i in best if unused[i]][:1])

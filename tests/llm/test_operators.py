@@ -367,6 +367,31 @@ def test_neighbours_share_a_window():
     assert same > 0.7
 
 
+def test_seeds_ask_with_all_tokens_and_go_down_the_whole_ranking():
+    """Neighbours equal a search by definition, and a window takes neighbours as long as any is unused."""
+    rng = np.random.default_rng(1)
+    rests = [np.append(rng.zipf(1.3, 60).clip(0, 400), 500 + i).astype("<u4") for i in range(700)]
+    df = np.bincount(np.concatenate([np.unique(r) for r in rests]))
+    idf = np.log1p((700 - df + 0.5) / (df + 0.5))
+    index, unused = packing.Shard(rests, idf, 61.0), np.arange(700) % 5 > 0
+    for seed in (0, 7, 300):
+        want = np.zeros(700)
+        for i, r in enumerate(rests):
+            for t in np.intersect1d(rests[seed], r):
+                n = (r == t).sum()
+                want[i] += idf[t] * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(r) / 61.0))
+        got = index.neighbours(rests[seed], unused)
+        assert set(got) == set(np.flatnonzero((want > 0) & unused)) and (np.diff(want[got]) < 1e-9).all()
+    # 100 long neighbours do not fit beside the seed, 90 short ones rank lower; 100 others share nothing
+    seed = np.arange(100)
+    rests = ([seed] + [np.append(np.arange(20), np.full(1000, 200)) for _ in range(100)] + [np.full(300, 900)] * 100
+             + [np.full(10, 99)] * 90)
+    idf = np.ones(901)
+    idf[200], idf[99] = 1e-3, 1e-2
+    first = [i for i, _, _, s, _ in packing.fill([r.astype("<u4") for r in rests], 1024, idf, 500.0) if s == 0]
+    assert {i for i in first if i > 200} == set(range(201, 291)) and not {i for i in first if 100 < i <= 200}
+
+
 def test_field_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0, int), *(np.zeros(toxicity.LEVELS) for _ in range(3)), -1.2,
