@@ -148,3 +148,17 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         shingles, at = shingle_hashes(word_hashes(data, starts, ends), first)
         for i in range(len(offsets) - 1):
             yield lo + i, np.unique(shingles[at[i]:at[i + 1]])
+
+
+def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the slices one after the other (A-Z in lower case, if asked), and where each begins (one more entry)."""
+    sizes = ends - starts
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    raw = data[np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])]
+    return (_FOLD.astype(np.uint8)[raw] if fold else raw), at
+
+
+def strings(raw: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A text column from bytes and offsets."""
+    return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()),
+                                                            pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
