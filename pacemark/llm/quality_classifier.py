@@ -305,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                .mapInArrow(rows, "vector binary, good int, place long").orderBy("place", "vector").limit(sample_rows))
         sample = own if sample is None else sample.unionByName(own)
     got = sample.collect()
-    x = np.array([np.frombuffer(r["vector"], dtype=np.float32) for r in got], dtype=np.float64).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r["vector"], dtype=np.float32) for r in got], dtype=np.float64).reshape(len(got), 2 * DIMENSIONS + 2)
     return vectors, train(x, np.array([r["good"] for r in got], dtype=float), share)
 
 
