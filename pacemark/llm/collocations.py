@@ -1,16 +1,19 @@
 """Phrases that occur more often than their parts explain, counted with burst tries.
 
 Texts are cut at sentence marks and line ends into pieces and those at spaces and tabs into words, A-Z in lower case.
-Every count is per language. Three passes over the whole texts count words, pairs of words, and phrases of three words
-and more; a pass only counts phrases whose parts the passes before found at least ``least`` times, which loses none,
-since no phrase occurs more often than a part of it. The parts are known to the tasks by a filter of bounded size that
-may let further phrases in, but keeps none out.
+Every count is per language. The whole texts are read three times.
 
-Counting (``HatTrie``): a task holds a shallow trie over word ids whose leaves are hash containers of phrase ends. A
-container that grows over ``BURST`` entries bursts into a node with a container for each next word. Beyond
-``ENTRIES`` phrases whole subtrees are spilled as sorted runs, the largest first. Runs are dealt by the first words of
-their phrases, so every partition merges the runs of its prefixes; phrases under one pair of first words are at most
-as many as there are frequent words after the second, whatever the size of the texts.
+The first two passes are sieves: the first of words and pairs, the second of longer phrases whose words and pairs are
+left. Phrases are counted by hash cells, so that a cell counts at least as often as any phrase in it; cells with fewer than
+``least`` hold no candidate and no part of one, since a phrase occurs no more often than its parts. Tasks compact
+their cells and send sorted runs, cut by ranges of cells; each range is merged by itself. The cells left make a filter of
+bounded size for each length: it may let further phrases in, but keeps none out.
+
+The third pass counts the phrases of 1 to 5 words that are left (``HatTrie``): a task holds a
+shallow trie over word ids whose leaves are hash containers of phrase ends. A container that grows over ``BURST``
+entries bursts into a node with a container for each next word. Beyond ``ENTRIES`` phrases whole subtrees are spilled
+as sorted runs, the largest first. Runs are cut and dealt by the first two words of their phrases, so every partition
+merges the runs of its prefixes; there are as many partitions as the size of the texts asks for.
 
 Word ids are 64-bit hashes of language and word and never leave a task; runs hold the words themselves.
 
@@ -22,7 +25,8 @@ other columns may have any name. Texts of any length are taken in pieces of a fe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,9 @@ LONGEST = 5
 #: Bits of the filter for each frequent phrase, and bits at most (16 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 27
 
+#: Cells a task holds before it sends them, and bytes of text for each range of cells.
+SIEVE_ENTRIES, RANGE_BYTES = 1 << 20, 1 << 23
+
 _CUTS = np.zeros(256, dtype=bool)
 _CUTS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _INSIDE = ~_CUTS
@@ -130,21 +137,18 @@ class HatTrie:
 
 
 class Filter:
-    """Hashes of phrases, with a bounded number of bits; false hits are possible, misses are not."""
+    """Cells of phrases, with a bounded number of bits; false hits are possible, misses are not."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
 
     @staticmethod
-    def slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-        return [mix(hashes ^ p) & np.uint64(bits - 1) for p in _PROBES]
-
-    def __contains__(self, item) -> bool:
-        return bool(self.has(np.array([item], dtype=np.uint64))[0])
+    def slots(keys: np.ndarray, slots: int) -> list[np.ndarray]:
+        return [mix(keys ^ p) & np.uint64(slots - 1) for p in _PROBES]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), dtype=bool)
-        for slot in self.slots(hashes, len(self.words) * 64):
+        for slot in self.slots(_cell(hashes, self.bits), len(self.words) * 64):
             out &= (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
         return out
 
@@ -154,7 +158,7 @@ def _tongue(lang: str) -> int:
 
 
 def _words(data: np.ndarray, offsets: np.ndarray, tongue: np.ndarray):
-    """Bounds of all words, their ids, the piece each is in and their rows."""
+    """Bounds of all words, their ids, the piece of text each is in and their rows."""
     starts, ends, first = word_bounds(data, offsets, _INSIDE)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     ids = mix(word_hashes(data, starts, ends) ^ tongue[row])
@@ -170,130 +174,260 @@ def _phrase_hashes(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def _places(ids: np.ndarray, piece: np.ndarray, sizes: range, words: Filter | None, pairs: Filter | None):
-    """Where phrases of each size begin whose parts may be frequent."""
-    ok = np.ones(len(ids), dtype=bool) if words is None else words.has(ids)
-    if 1 in sizes:
-        yield 1, np.flatnonzero(ok)
-    pair = ok[:-1] & ok[1:] & (piece[:-1] == piece[1:])
-    if pairs is not None:
-        at = np.flatnonzero(pair)
-        pair[at] = pairs.has(_phrase_hashes(ids, at, 2))
-    run = pair
-    for size in range(2, max(sizes) + 1):
-        if size > 2:
-            run = run[:-1] & pair[size - 2:]
+def _plain(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
+
+
+def _read(batches: Iterator[pa.RecordBatch]):
+    """Per piece of a batch: bytes, word bounds, ids, pieces of text, language of each word, and languages."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        tongues = langs.dictionary.to_pylist()
+        hashes = np.array([_tongue(t) for t in tongues], dtype=np.uint64)
+        codes = langs.indices.to_numpy()
+        for lo, hi, data, offsets in pieces(batch.column(1)):
+            starts, ends, ids, piece, row = _words(data, offsets, hashes[codes[lo:hi]])
+            yield data, (starts, ends), ids, piece, codes[lo:hi][row], tongues
+
+
+def _places(ids: np.ndarray, piece: np.ndarray, sizes: range, known: dict[int, Filter]) -> Iterator[tuple[int, np.ndarray]]:
+    """Where phrases of the given sizes begin, if they and all their parts pass the filters there are."""
+    run = np.ones(len(ids), dtype=bool)
+    for size in range(1, max(sizes) + 1):
+        if size > 1:
+            run = run[:-1] & run[1:]
+        if size == 2:
+            run &= piece[:-1] == piece[1:]
+        if size in known:
+            at = np.flatnonzero(run)
+            run[at] = known[size].has(_phrase_hashes(ids, at, size))
         if size in sizes:
             yield size, np.flatnonzero(run)
 
 
-def count_phrases(docs: DataFrame, sizes: range, words=None, pairs=None, lang: str = "lang", text: str = "text",
+def count_phrases(docs: DataFrame, filters: dict, bits: int, lang: str = "lang", text: str = "text",
                   burst: int = BURST, entries: int = ENTRIES) -> DataFrame:
-    """Counts (lang, phrase, f) of the phrases of the given sizes; ``words`` and ``pairs`` are broadcast filters."""
-    plain = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
+    """Counts (lang, phrase, f) of the phrases that pass the broadcast filters of their sizes; the empty phrase counts all words."""
+    plain = _plain(docs, lang, text)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names = HatTrie(burst, entries), {}
+        trie, names, total = HatTrie(burst, entries), {}, {}
+        known = {k: f.value for k, f in filters.items()}
+        for data, (starts, ends), ids, piece, code, tongues in _read(batches):
+            for c, n in enumerate(np.bincount(code, minlength=len(tongues)).tolist()):
+                if n:
+                    total[tongues[c]] = total.get(tongues[c], 0) + n
+            used = np.zeros(len(ids), dtype=bool)
+            new = []
+            for size, at in _places(ids, piece, range(1, LONGEST + 1), known):
+                _, one, count = np.unique(_phrase_hashes(ids, at, size), return_index=True, return_counts=True)
+                at = at[one]
+                used[at] = True
+                raw = np.stack([ids[at + k] for k in range(size)], axis=1).astype(">u8").tobytes()
+                new.append(([raw[i:i + 8 * size] for i in range(0, len(raw), 8 * size)], count.tolist()))
+            at = np.flatnonzero(used)
+            at = at[np.unique(ids[at], return_index=True)[1]]
+            lower = data.tobytes().translate(_LOWER)
+            for i, s, e, c in zip(ids[at].tolist(), starts[at].tolist(), ends[at].tolist(), code[at].tolist()):
+                i = i.to_bytes(8, "big")
+                if i not in names:
+                    # a word holds no tab
+                    names[i] = tongues[c].encode() + b"\t" + lower[s:e]
+            for keys, counts in new:
+                trie.add(keys, counts)
+            if trie.held > entries or len(names) > 2 * entries:
+                yield from _runs(trie.spill(entries // 2 if len(names) <= 2 * entries else 0), names, bits)
+                if not trie.held:
+                    names = {}
+        yield from _runs(trie.spill(), names, bits, {t.encode() + b"\t": n for t, n in total.items()})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+
+        def left() -> Iterator[pa.RecordBatch]:
+            names = sorted(sums)
+            for lo in range(0, len(names), 50_000):
+                own = names[lo:lo + 50_000]
+                parts = [n.rpartition(b"\t") for n in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[0] for p in parts], pa.binary()).cast(pa.string()), pa.array([p[2] for p in parts], pa.binary())
+                     .cast(pa.string()), pa.array([sums[n] for n in own], pa.int64())], names=["lang", "phrase", "f"])
+
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            tongues = langs.dictionary.to_pylist()
-            codes = langs.indices.to_numpy()
-            hashes = np.array([_tongue(t) for t in tongues], dtype=np.uint64)
-            for lo, hi, data, offsets in pieces(batch.column(1)):
-                code = codes[lo:hi]
-                starts, ends, ids, piece, row = _words(data, offsets, hashes[code])
-                used = np.zeros(len(ids), dtype=bool)
-                new = []
-                for size, at in _places(ids, piece, sizes, words and words.value, pairs and pairs.value):
-                    _, one, count = np.unique(_phrase_hashes(ids, at, size), return_index=True, return_counts=True)
-                    at = at[one]
-                    for k in range(size):
-                        used[at + k] = True
-                    raw = np.stack([ids[at + k] for k in range(size)], axis=1).astype(">u8").tobytes() if len(at) else b""
-                    new.append(([raw[i:i + 8 * size] for i in range(0, len(raw), 8 * size)], count.tolist()))
-                at = np.flatnonzero(used)
-                at = at[np.unique(ids[at], return_index=True)[1]]
-                lower = data.tobytes().translate(_LOWER)
-                for i, s, e, c in zip(ids[at].astype(">u8").tolist(), starts[at].tolist(), ends[at].tolist(), code[row[at]].tolist()):
-                    i = i.to_bytes(8, "big")
-                    if i not in names:
-                        # a word holds no tab
-                        names[i] = tongues[c].encode() + b"\t" + lower[s:e]
-                for keys, counts in new:
-                    trie.add(keys, counts)
-                if trie.held > entries or len(names) > 2 * entries:
-                    yield from _run_batches(trie.spill(entries // 2 if len(names) <= 2 * entries else 0), names)
-                    if not trie.held:
-                        names = {}
-        yield from _run_batches(trie.spill(), names)
-
-    made = plain.mapInArrow(runs, "lang string, phrase string, f long")
-    # runs are dealt by their first words; the counts of a phrase meet there
-    return (made.withColumn("prefix", F.substring_index("phrase", " ", 2)).repartition("lang", "prefix")
-            .groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f")).drop("prefix"))
-
-
-def _run_batches(run: Iterator[tuple[bytes, int]], names: dict, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    langs, phrases, counts = [], [], []
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                                           pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
+            for part, names, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if part != now:
+                    yield from left()
+                    now, sums = part, {}
+                for n, c in zip(names.values.to_pylist(), counts.values.to_pylist()):
+                    sums[n] = sums.get(n, 0) + c
+        yield from left()
+
+    # runs are dealt by the first words of their phrases, so the counts of a phrase meet
+    return (plain.mapInArrow(runs, "part long, names array<binary>, counts array<long>").repartition("part")
+            .sortWithinPartitions("part").mapInArrow(merged, "lang string, phrase string, f long"))
+
+
+def _runs(run: Iterator[tuple[bytes, int]], names: dict, bits: int, more: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Spilled subtrees as sorted runs, one row for each partition of prefixes: languages with phrases, and counts."""
+    parts: dict[int, tuple[list, list]] = {}
+
+    def put(prefix: bytes, name: bytes, count: int) -> None:
+        own = parts.setdefault(zlib.crc32(prefix) & ((1 << bits) - 1), ([], []))
+        own[0].append(name)
+        own[1].append(count)
 
     for key, count in run:
-        lang, _, phrase = names[key[:8]].rpartition(b"\t")
+        name = prefix = names[key[:8]]
         if len(key) > 8:
-            phrase = b" ".join([phrase, *(names[key[i:i + 8]].rpartition(b"\t")[2] for i in range(8, len(key), 8))])
-        langs.append(lang)
-        phrases.append(phrase)
-        counts.append(count)
-        if len(langs) == rows:
-            yield batch()
-            langs, phrases, counts = [], [], []
-    if langs:
-        yield batch()
-
-
-def filter_of(phrases: DataFrame, size: int, bits_each: int = FILTER_BITS, most_bits: int = MOST_BITS):
-    """A broadcast filter of all phrases (lang, phrase) of one size; bounded, so fuller where there are more."""
-    spark = phrases.sparkSession
-    bits = 1 << 16
-    n = phrases.count()
-    while bits < bits_each * n and bits < most_bits:
-        bits *= 2
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = [names[key[i:i + 8]].rpartition(b"\t")[2] for i in range(8, len(key), 8)]
+            name, prefix = b" ".join([name, *words]), name + b" " + words[0]
+        put(prefix, name, count)
+    for name, count in (more or {}).items():
+        put(name, name, count)
+    for lo in range(0, len(parts), 256):
+        own = sorted(parts)[lo:lo + 256]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([parts[p][0] for p in own], pa.list_(pa.binary())),
+                                          pa.array([parts[p][1] for p in own], pa.list_(pa.int64()))], names=["part", "names", "counts"])
+
+
+class _Cells:
+    """Counts of hash cells that a task compacts and cuts into runs."""
+
+    def __init__(self, bits: int):
+        self.bits, self.held, self.rows = bits, [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        cells, counts = np.unique(_cell(hashes, self.bits), return_counts=True)
+        self.held.append((cells, counts.astype(np.uint64)))
+        self.rows += len(cells)
+        if self.rows > 2 * SIEVE_ENTRIES:
+            self.compact()
+
+    def compact(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            self.held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        self.held = [_summed(*(np.concatenate(x) for x in zip(*self.held)))]
+        self.rows = len(self.held[0][0])
+        return self.held[0]
+
+    def runs(self, size: int) -> Iterator[pa.RecordBatch]:
+        """One row per range of cells: the cells met once, and the others with their counts."""
+        cells, counts = self.compact()
+        part = (cells >> np.uint64(32)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, int)
+        low, counts = cells.astype(np.uint32), np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
+        for lo in range(0, len(cuts) - 1, 4096):
+            some = list(zip(cuts[lo:lo + 4096], cuts[lo + 1:lo + 4097]))
+            once = [counts[a:b] == 1 for a, b in some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([size] * len(some), pa.int32()), pa.array([part[a] for a, _ in some], pa.int64()),
+                 pa.array([low[a:b][o].tobytes() for (a, b), o in zip(some, once)], pa.binary()),
+                 pa.array([low[a:b][~o].tobytes() for (a, b), o in zip(some, once)], pa.binary()),
+                 pa.array([counts[a:b][~o].tobytes() for (a, b), o in zip(some, once)], pa.binary())],
+                names=["size", "part", "once", "more", "times"])
+        self.held, self.rows = [], 0
+
+
+def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(cells), 1), bool), cells[1:] != cells[:-1])))
+    return cells[first], np.add.reduceat(counts[order], first, dtype=np.uint64) if len(first) else counts
+
+
+def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A range of cells (the first ``bits`` bits) and a cell of 32 bits in it."""
+    part = hashes >> np.uint64(64 - bits) if bits else np.zeros_like(hashes)
+    return (part << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+
+
+def sieve(docs: DataFrame, least: int, sizes: range, filters: dict, bits: int, lang: str = "lang", text: str = "text") -> DataFrame:
+    """Cells (size of the phrases, key) that count ``least`` at least, of phrases whose parts pass the broadcast filters.
+
+    ``bits`` name a range of cells (``range_bits``).
+    """
+    plain = _plain(docs, lang, text)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = {size: _Cells(bits) for size in sizes}
+        known = {k: f.value for k, f in filters.items()}
+        for _, _, ids, piece, _, _ in _read(batches):
+            for size, at in _places(ids, piece, sizes, known):
+                cells[size].add(_phrase_hashes(ids, at, size))
+                if cells[size].rows > SIEVE_ENTRIES:
+                    yield from cells[size].runs(size)
+        for size, own in cells.items():
+            yield from own.runs(size)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rows = None, [], 0
+
+        def left() -> pa.RecordBatch:
+            cells, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+            key = cells[counts >= least].astype(np.int64) | (now[1] << 32)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), now[0], np.int32)), pa.array(key)], names=["size", "key"])
+
+        for batch in batches:
+            for size, part, once, more, times in zip(*(batch.column(i) for i in range(5))):
+                if (own := (size.as_py(), part.as_py())) != now:
+                    if now:
+                        yield left()
+                    now, held, rows = own, [], 0
+                once, more, times = (np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in (once, more, times))
+                held.append((np.concatenate((once, more)), np.concatenate((np.ones(len(once), np.uint64), times))))
+                rows += len(once) + len(more)
+                if rows > SIEVE_ENTRIES:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+                    rows = 0
+        if now:
+            yield left()
+
+    # hash ranges are even, and there are as many as the size of the texts asks for
+    made = plain.mapInArrow(runs, "size int, part long, once binary, more binary, times binary")
+    return made.repartition("size", "part").sortWithinPartitions("size", "part").mapInArrow(merged, "size int, key long")
+
+
+def range_bits(docs: DataFrame, text: str = "text") -> int:
+    """The bits that name a range of cells: one range for every ``RANGE_BYTES`` of text."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    bits = 0
+    while (RANGE_BYTES << bits) < size and bits < 20:
+        bits += 1
+    return bits
+
+
+def filter_of(keys: DataFrame, bits: int = 0, bits_each: int = FILTER_BITS, most_bits: int = MOST_BITS):
+    """A broadcast filter of all rows of ``key``; its size is bounded, so it is fuller where there are more."""
+    slots = 1 << 16
+    n = keys.count()
+    while slots < bits_each * n and slots < most_bits:
+        slots *= 2
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in pieces(batch.column(1)):
-                tongue = np.array([_tongue(t) for t in langs[lo:hi]], dtype=np.uint64)
-                starts, ends, first = word_bounds(data, offsets, _INSIDE)
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                ids = mix(word_hashes(data, starts, ends) ^ tongue[row])
-                slot = np.concatenate(Filter.slots(_phrase_hashes(ids, first[:-1], size) if size > 1 else ids, bits))
-                yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)),
-                                                  pa.array((slot & np.uint64(63)).astype(np.int32))], names=["word", "bit"])
+            slot = np.concatenate(Filter.slots(batch.column(0).to_numpy().astype(np.uint64), slots))
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)),
+                                              pa.array((slot & np.uint64(63)).astype(np.int32))], names=["word", "bit"])
 
     # no more rows than the filter has words
-    got = (phrases.select("lang", "phrase").mapInArrow(slots, "word long, bit int").groupBy("word")
+    got = (keys.select("key").mapInArrow(placed, "word long, bit int").groupBy("word")
            .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("set")).toArrow())
-    words = np.zeros(bits // 64, dtype=np.uint64)
+    words = np.zeros(slots // 64, dtype=np.uint64)
     words[got["word"].to_numpy()] = got["set"].to_numpy().astype(np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(Filter(words))
+    return keys.sparkSession.sparkContext.broadcast(Filter(words, bits))
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, lang: str = "lang", text: str = "text",
                   **trie) -> tuple[DataFrame, DataFrame]:
     """Words counted per language (lang, n), and phrases of 1 to 5 words with ``least`` occurrences (lang, phrase, size, f)."""
-    count: Callable[..., DataFrame] = lambda sizes, **filters: count_phrases(docs, sizes, lang=lang, text=text, **trie, **filters)
-    words = written(count(range(1, 2)), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = words.where(F.col("f") >= least)
-    known = filter_of(often, 1)
-    pairs = written(count(range(2, 3), words=known).where(F.col("f") >= least), "pairs")
-    longer = written(count(range(3, LONGEST + 1), words=known, pairs=filter_of(pairs, 2)).where(F.col("f") >= least), "phrases")
-    sized = often.unionByName(pairs).unionByName(longer)
-    return totals, sized.withColumn("size", F.size(F.split("phrase", " ")))
+    bits, filters = range_bits(docs, text), {}
+    for sizes in (range(1, 3), range(3, LONGEST + 1)):
+        cells = written(sieve(docs, least, sizes, filters, bits, lang, text), "cells")
+        filters |= {k: filter_of(cells.where(F.col("size") == k), bits) for k in sizes}
+    counts = count_phrases(docs, filters, bits, lang, text, **trie)
+    counts = written(counts.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    totals = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    return totals, counts.where("phrase <> ''").withColumn("size", F.size(F.split("phrase", " ")))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang: str = "lang", text: str = "text", **trie) -> DataFrame:

@@ -167,16 +167,32 @@ def test_trie_bursts_spills_and_loses_nothing():
     assert spilled == true and trie.held == 0 and not trie.root
 
 
-def test_filter_keeps_all_it_was_given(spark):
-    phrases = [("en", f"w{i} x{i % 7}") for i in range(500)] + [("und", "w1 x1")]
-    known = collocations.filter_of(spark.createDataFrame(phrases, "lang string, phrase string"), 2, most_bits=1 << 16).value
-    ids = []
-    for lang, phrase in phrases:
-        data = np.frombuffer(phrase.encode(), dtype=np.uint8)
-        _, _, own, _, _ = collocations._words(data, np.array([0, len(data)]), np.array([collocations._tongue(lang)], dtype=np.uint64))
-        ids.append(collocations._phrase_hashes(own, np.array([0]), 2)[0])
-    assert known.has(np.array(ids, dtype=np.uint64)).all()
-    assert known.has(np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64)).mean() < 0.05
+@pytest.mark.parametrize("entries,range_bytes", [(1 << 20, 1 << 23), (30, 200)])
+def test_sieve_keeps_all_frequent_words_and_pairs(spark, monkeypatch, entries, range_bytes):
+    monkeypatch.setattr(collocations, "SIEVE_ENTRIES", entries)
+    monkeypatch.setattr(collocations, "RANGE_BYTES", range_bytes)
+    docs = rows_with_edges()
+    given = table(spark, docs).repartition(3)
+    bits = collocations.range_bits(given)
+    column = pa.RecordBatch.from_arrays([pa.array([g or "und" for _, _, g in docs]), pa.array([t for _, t, _ in docs])], names=["a", "b"])
+    words = list(collocations._read(iter([column])))
+    counts = collections.defaultdict(collections.Counter)
+    for _, _, ids, piece, _, _ in words:
+        for k in range(1, 6):
+            at = np.flatnonzero(piece[:len(piece) - k + 1] == piece[k - 1:])
+            counts[k].update(collocations._cell(collocations._phrase_hashes(ids, at, k), bits).tolist())
+    filters = {}
+    for sizes in (range(1, 3), range(3, 6)):
+        found = collocations.sieve(given, 20, sizes, filters, bits).cache()
+        kept = {(r.size, r.key) for r in found.collect()}
+        assert kept == {(k, c) for k in sizes for c, n in counts[k].items() if n >= 20} and kept
+        for k in sizes:
+            filters[k] = collocations.filter_of(found.where(f"size = {k}"), bits, most_bits=1 << 16)
+            keys = np.array([c for s, c in kept if s == k], dtype=np.uint64)
+            # a hash with the same range and cell
+            hashes = (keys >> np.uint64(32) << np.uint64(64 - bits) if bits else np.zeros_like(keys)) | (keys & np.uint64(0xFFFFFFFF))
+            assert filters[k].value.has(hashes).all()
+    assert filters[2].value.has(np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64)).mean() < 0.05
 
 
 def held(key):
