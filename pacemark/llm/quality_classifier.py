@@ -1,11 +1,11 @@
 """Quality of texts: random-indexing word vectors pooled per document, and a small network.
 
 Tokens are runs of letters, digits and characters beyond ASCII (case kept), and runs of one punctuation mark. Every
-token has a random index vector: a few signs in ``DIMENSIONS`` places, drawn by its hash. The context vector of a token
+token has a random index vector: a few signs in ``DIMENSIONS`` places, one of ``INDEXES`` drawn by its hash. The context vector of a token
 sums the index vectors of its neighbours over the whole corpus, so it grows by addition, in any order and on any number
 of tasks. Vectors are kept in ``TABLES`` tables of ``SLOTS`` rows; a token owns one row of each, chosen by independent
 hashes, and its vector is the mean of its normalised rows. So every token of the corpus counts and has a vector, however
-many there are, and the model that tasks read has a fixed size (``TABLES * SLOTS * DIMENSIONS`` single floats, 4 MB).
+many there are, and the model that tasks read has a fixed size (``TABLES * SLOTS * DIMENSIONS`` single floats, 3 MB).
 
 A document is the mean and the spread of the vectors of its tokens, rarer tokens weighing more, with the mean cosine of
 neighbouring tokens and the logarithm of their number. A network of two layers learns from a bounded sample of labelled rows, ``sample_rows`` at most of either label, chosen by a hash of key and text;
@@ -24,19 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacemark.llm.text_arrays import PLAIN, _power_tables, constants, mix, pieces
 
-DIMENSIONS, SIGNS = 64, 6
+DIMENSIONS, SIGNS, INDEXES = 48, 6, 1024
 TABLES, SLOTS = 2, 8192
 #: Neighbours on either side.
 REACH = 2
 #: Labelled rows of either label that are learned from at most.
 SAMPLE_ROWS = 8000
-#: Tokens whose vectors are held at once.
-CHUNK = 1 << 15
+#: Tokens whose vectors are held at once, so that they stay in a processor's cache.
+CHUNK = 1 << 12
+#: Cells of contexts that a task gathers before it counts them.
+CELLS = 1 << 22
 HIDDEN, ROUNDS, BATCH, RATE = 32, 60, 128, 2e-3
 #: Rows of a table that travel together, and slots that a sum is dealt over on the way.
 SLICE, WAYS = 512, 16
@@ -51,7 +53,7 @@ _INDEX = constants(1, 93)[0]
 def _signs() -> np.ndarray:
     """Index vectors by the low bits of a token's hash."""
     rng = np.random.default_rng(17)
-    out = np.zeros((4096, DIMENSIONS), dtype=np.int16)
+    out = np.zeros((INDEXES, DIMENSIONS))
     for row in out:
         row[rng.choice(DIMENSIONS, SIGNS, replace=False)] = rng.choice([-1, 1], SIGNS)
     return out
@@ -83,42 +85,45 @@ def _slots(h: np.ndarray, table: int) -> np.ndarray:
     return (mix(h ^ _SALT[table]) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _contexts(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The sum of the index vectors of each token's neighbours in its row."""
-    index = _SIGNS[(mix(h ^ _INDEX) & np.uint64(len(_SIGNS) - 1)).astype(np.int64)]
-    out = np.zeros_like(index)
-    for k in range(1, REACH + 1):
-        near = (row[k:] == row[:-k])[:, None]
-        out[k:] += index[:-k] * near
-        out[:-k] += index[k:] * near
+def _met(h: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+    """Per table, the cells of the tokens of a piece: one for each neighbour in its row, by index vector, and one for itself."""
+    index = (mix(h ^ _INDEX) & np.uint64(INDEXES - 1)).astype(np.int64)
+    near = [np.flatnonzero(row[k:] == row[:-k]) for k in range(1, REACH + 1)]
+    out = []
+    for t in range(TABLES):
+        slot = _slots(h, t) * (INDEXES + 1)
+        cells = [slot + INDEXES]
+        for k, at in enumerate(near, 1):
+            cells += [slot[at + k] + index[at], slot[at] + index[at + k]]
+        out.append(np.concatenate(cells))
     return out
 
 
-def _add(table: np.ndarray, slot: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(slot, kind="stable")
-    own = slot[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(len(own), 1), bool), own[1:] != own[:-1])))
-    if len(first):
-        table[own[first]] += np.add.reduceat(rows[order], first, axis=0, dtype=np.float64)
-
-
 def context_tables(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Sums of contexts and, in the last column, numbers of tokens: tables x slots x (dimensions + 1)."""
     wide = DIMENSIONS + 1
 
+    def add(counts: np.ndarray, met: list[list[np.ndarray]]) -> None:
+        for t in range(TABLES if met else 0):
+            counts[t] += np.bincount(np.concatenate([m[t] for m in met]), minlength=counts.shape[1])
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((TABLES, SLOTS, wide))
+        # how often each slot met each index vector, and how many tokens it has
+        counts = np.zeros((TABLES, SLOTS * (INDEXES + 1)), dtype=np.int64)
+        met: list[list[np.ndarray]] = []
         for batch in batches:
             for _lo, _hi, data, offsets in pieces(batch.column(0)):
                 h, first = tokens(data, offsets)
-                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                for lo in range(0, len(h), CHUNK):
-                    # neighbours across the cut are seen from both sides
-                    a, b = max(0, lo - REACH), min(len(h), lo + CHUNK + REACH)
-                    own = slice(lo - a, min(lo + CHUNK, len(h)) - a)
-                    near = np.concatenate((_contexts(h[a:b], row[a:b])[own], np.ones((own.stop - own.start, 1), np.int16)), axis=1)
-                    for t in range(TABLES):
-                        _add(table[t], _slots(h[a:b][own], t), near)
+                met.append(_met(h, np.repeat(np.arange(len(first) - 1), np.diff(first))))
+                if sum(len(m[0]) for m in met) > CELLS:
+                    add(counts, met)
+                    met = []
+        add(counts, met)
+        table = np.empty((TABLES, SLOTS, wide))
+        for own, flat in zip(table, counts.reshape(TABLES, SLOTS, INDEXES + 1)):
+            for lo in range(0, SLOTS, SLICE):
+                own[lo:lo + SLICE, :-1] = flat[lo:lo + SLICE, :-1].astype(np.float64) @ _SIGNS
+            own[:, -1] = flat[:, -1]
         yield from _parts(table.reshape(-1, SLICE, wide))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +161,7 @@ class Vectors:
         # what all contexts have in common says nothing about a token
         rows = sums[..., :-1] / np.maximum(count, 1)[..., None] - mean
         size = np.sqrt((rows ** 2).sum(axis=2, keepdims=True))
-        self.rows = (rows / np.maximum(size, 1e-9)).astype(np.float32)
+        self.rows = (rows / np.maximum(size, 1e-9) / TABLES).astype(np.float32)
         share = count / np.maximum(count.sum(axis=1, keepdims=True), 1)
         self.weight = (1e-3 / (1e-3 + share)).astype(np.float32)
 
@@ -170,16 +175,20 @@ class Vectors:
             for a in range(0, len(h), CHUNK):
                 own, r = h[a:a + CHUNK], row[a:a + CHUNK]
                 slots = [_slots(own, t) for t in range(TABLES)]
-                vector = sum(self.rows[t][s] for t, s in enumerate(slots)) / np.float32(TABLES)
-                # a slot counts all its tokens, so the larger weight is nearer to the token's own
-                weight = np.maximum.reduce([self.weight[t][s] for t, s in enumerate(slots)])
+                vector = self.rows[0][slots[0]]
+                weight = self.weight[0][slots[0]]
+                for t in range(1, TABLES):
+                    vector += self.rows[t][slots[t]]
+                    # a slot counts all its tokens, so the larger weight is nearer to the token's own
+                    np.maximum(weight, self.weight[t][slots[t]], out=weight)
                 new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                length = np.sqrt((vector ** 2).sum(axis=1)) + 1e-9
-                cosine = (vector[1:] * vector[:-1]).sum(axis=1) / (length[1:] * length[:-1])
-                alike += np.bincount(r[1:], np.where(r[1:] == r[:-1], cosine, 0), minlength=hi - lo)
+                length = np.sqrt(np.einsum("ij,ij->i", vector, vector)) + np.float32(1e-9)
+                cosine = np.einsum("ij,ij->i", vector[1:], vector[:-1]) / (length[1:] * length[:-1])
+                same = np.concatenate((np.where(r[1:] == r[:-1], cosine, 0), [0]))
+                alike[r[new]] += np.add.reduceat(same, new)
                 vector *= weight[:, None]
                 total[r[new]] += np.add.reduceat(vector, new, axis=0)
-                vector *= vector
+                np.multiply(vector, vector, out=vector)
                 square[r[new]] += np.add.reduceat(vector, new, axis=0)
                 weights[r[new]] += np.add.reduceat(weight, new)
             n = np.diff(first)
@@ -296,15 +305,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                      batch.column(2).slice(lo, hi - lo)], names=["vector", "good", "place"])
                 yield out.filter(pa.array(some))
 
-    # the rows with the smallest hashes of either label; partial limits keep a bounded number of rows in each task
+    # the keys with the smallest hashes of either label, then their rows: both at most 2 * sample_rows
     order = F.xxhash64(F.col("row_key"), F.lit("sample"))
-    plain = docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text")).join(known, "row_key")
-    sample = None
-    for good in (0, 1):
-        own = (plain.where(F.col("good") == good).select("text", "good", order.alias("place"))
-               .mapInArrow(rows, "vector binary, good int, place long").orderBy("place", "vector").limit(sample_rows))
-        sample = own if sample is None else sample.unionByName(own)
-    got = sample.collect()
+    keys = [known.where(F.col("good") == good).orderBy(order, "row_key").limit(sample_rows) for good in (0, 1)]
+    sample = (docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text"))
+              .join(F.broadcast(keys[0].unionByName(keys[1])), "row_key").select("text", "good", order.alias("place"))
+              .mapInArrow(rows, "vector binary, good int, place long"))
+    first = Window.partitionBy("good").orderBy("place", "vector")
+    got = (sample.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows)
+           .orderBy("good", "nth").collect())
     x = np.array([np.frombuffer(r["vector"], dtype=np.float32) for r in got], dtype=np.float64).reshape(len(got), 2 * DIMENSIONS + 2)
     return vectors, train(x, np.array([r["good"] for r in got], dtype=float), share)
 
