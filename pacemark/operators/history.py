@@ -7,7 +7,7 @@ of at most ``MAX_FILES_PER_COMMIT`` files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacemark import fixed_values as fv
@@ -167,3 +167,67 @@ def history_features(pairs: DataFrame, pair_files: DataFrame, commit_files: Data
         "avg_churn_per_file": touched / F.greatest("num_files", F.lit(1))})
     return (spine.select(*KEY).join(features, KEY, "left")
             .fillna(0, fv.HISTORY_FEATURES).select(*KEY, *fv.HISTORY_FEATURES))
+
+
+#: Width of the time slots of the as-of history.
+SLOT_DAYS = 7
+
+
+def history_before(own_files: DataFrame, commit_files: DataFrame, slot_days: int = SLOT_DAYS) -> DataFrame:
+    """Churn of each pair's file before the pair was created: only commits with ``committed_at < issue_created_at`` count.
+
+    ``own_files`` has the key, ``issue_created_at`` and one ``path`` per row. Per row: key, path, ``added``, ``deleted``,
+    ``commits`` and ``last_modified`` of the file until then; zeros and null where nothing happened before. Rows that repeat
+    a key and path come out once each. A pair without a time of creation has no history; commits without a time never count.
+
+    An as-of join: pairs and commits of a file are one stream ordered by time, and a pair takes the running sums. The
+    stream is cut into time slots, so that a file in a third of all commits is spread over as many tasks as it has slots:
+    sums run inside a slot, and what earlier slots add up to comes from one row per file and slot.
+    """
+    slot = F.floor(F.unix_micros("at") / F.lit(slot_days * 86_400_000_000))
+    changes = commit_files.where(F.col("committed_at").isNotNull()).select(
+        "repo", "path", F.col("committed_at").alias("at"), F.lit(1).alias("is_pair"),
+        F.lit(None).cast(own_files.schema["issue_number"].dataType).alias("issue_number"),
+        F.coalesce(F.col("added").cast("long"), F.lit(0)).alias("added"),
+        F.coalesce(F.col("deleted").cast("long"), F.lit(0)).alias("deleted"), F.lit(1).cast("long").alias("commits"))
+    zero = F.lit(0).cast("long")
+    asked = own_files.select("repo", "path", F.col("issue_created_at").alias("at"), F.lit(0).alias("is_pair"), "issue_number",
+                             zero.alias("added"), zero.alias("deleted"), zero.alias("commits"))
+    # of equal times pairs come first, so that a commit at the very time does not count
+    stream = stacked(changes, asked).withColumn("slot", slot)
+    sums = ["added", "deleted", "commits"]
+    inside = Window.partitionBy("repo", "path", "slot").orderBy("at", "is_pair").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    last = F.max(F.when(F.col("is_pair") == 1, F.col("at")))
+    running = (stream.withColumns({**{f"in_{c}": F.sum(c).over(inside) for c in sums}, "in_last": last.over(inside)})
+               .where("is_pair = 0").drop(*sums))
+    # pairs ask all earlier slots of a file at once: one row per file and slot, wherever anything happened
+    earlier = Window.partitionBy("repo", "path").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    per_slot = stream.groupBy("repo", "path", "slot").agg(*[F.sum(c).alias(c) for c in sums], last.alias("last"),
+                                                          F.max(F.col("is_pair") == 0).alias("asked"))
+    before = (per_slot.select("repo", "path", "slot", "asked", *[F.sum(c).over(earlier).alias(f"before_{c}") for c in sums],
+                              F.max("last").over(earlier).alias("before_last")).where("asked").drop("asked"))
+    same = ((running["repo"].eqNullSafe(before["repo"])) & (running["path"].eqNullSafe(before["path"]))
+            & (running["slot"].eqNullSafe(before["slot"])))
+    return running.join(before, same, "left").select(
+        running["repo"], running["issue_number"], running["path"],
+        *[(F.coalesce(f"in_{c}", zero) + F.coalesce(f"before_{c}", zero)).alias(c) for c in sums],
+        F.greatest("in_last", "before_last").alias("last_modified"))
+
+
+def features_before(pairs: DataFrame, pair_files: DataFrame, commit_files: DataFrame, slot_days: int = SLOT_DAYS) -> DataFrame:
+    """The churn features of each pair as they were known when it was created; zeros when it touches no file.
+
+    Unlike ``history_features`` nothing after the creation enters. Ages count from the last change before.
+    """
+    spine = pairs.select(*KEY, "issue_created_at")
+    past = history_before(pair_files.join(spine, KEY), commit_files, slot_days)
+    counted = past.groupBy(*KEY).agg(
+        F.count("*").alias("num_files"), F.sum("added").alias("churn_added_before"),
+        F.sum("deleted").alias("churn_deleted_before"), F.sum("commits").alias("commits_before"),
+        F.max("commits").alias("max_change_frequency_before"), F.count("last_modified").alias("files_changed_before"),
+        F.max("last_modified").alias("last_change_before"))
+    numbers = [c for c in counted.columns if c not in (*KEY, "last_change_before")]
+    return spine.join(counted, KEY, "left").fillna(0, numbers).withColumn(
+        "days_since_change", durations.hours_between(F.col("last_change_before"), F.col("issue_created_at")) / 24).drop(
+        "issue_created_at", "last_change_before")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pacemark import fixed_values as fv
 from pacemark.functions import durations
 from pacemark.operators import quantiles, ranks
 from pacemark.operators.groups import side_by_side
+from pacemark.sources.schemas import KEY
 
 METRICS = ["mae", "mdae", "mre", "pred_25", "pred_50", "r2", "sa"]
 
@@ -41,9 +43,19 @@ def accuracy_over_random(predictions: DataFrame, by: list[str]) -> DataFrame:
 
     ``predictions`` holds both splits. A baseline without error gives zeros.
     """
-    is_test = F.col("split") == "test"
-    guesses = ranks.random_guess_error(predictions, by, "actual_hours", is_test)
-    tested = errors(predictions.where(is_test)).groupBy(*by).agg(F.avg("abs_error").alias("mae"))
+    guesses = ranks.random_guess_error(predictions, by, "actual_hours", F.col("split") == "test")
+    return _accuracy(predictions, guesses, by)
+
+
+def accuracy_over_draws(predictions: DataFrame, by: list[str], draws: int = 1000, seed: int = fv.SEED) -> DataFrame:
+    """The same with a baseline from ``draws`` seeded runs of random guessing instead of their exact expectation."""
+    present = errors(predictions)
+    guesses = ranks.drawn_guess_error(present, by, "actual_hours", F.col("split") == "test", KEY, draws, seed)
+    return _accuracy(predictions, guesses, by)
+
+
+def _accuracy(predictions: DataFrame, guesses: DataFrame, by: list[str]) -> DataFrame:
+    tested = errors(predictions.where("split = 'test'")).groupBy(*by).agg(F.avg("abs_error").alias("mae"))
     base, spread, mae = F.col("mae_p0"), F.col("std_p0"), F.col("mae")
     gain = F.when(spread > 0, (base - mae) / spread).otherwise(F.lit(0.0))
     return side_by_side(guesses, tested, by).select(

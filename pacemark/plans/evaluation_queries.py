@@ -47,6 +47,28 @@ def sa_random_exact(spark, sf_dir):
     return tidy(metrics.accuracy_over_random(standins.predictions(spark, sf_dir), ["model"]))
 
 
+_DRAWS = 200
+
+
+@query(f"""WITH {views.PREDICTIONS},
+ranked AS (
+  SELECT model, actual_hours AS guess, row_number() OVER (PARTITION BY model ORDER BY actual_hours) - 1 AS rank
+  FROM predictions WHERE split = 'train'),
+sizes AS (SELECT model, count(*) AS n_train FROM ranked GROUP BY model),
+drawn AS (
+  SELECT model, draw, actual_hours,
+    CAST('0x' || substr(md5(concat_ws('|', '{fv.SEED}', draw, repo, issue_number)), 1, 13) AS BIGINT) % n_train AS rank
+  FROM tested JOIN sizes USING (model), range(0, {_DRAWS}) d(draw)),
+runs AS (SELECT model, draw, avg(abs(actual_hours - guess)) AS e FROM drawn JOIN ranked USING (model, rank) GROUP BY ALL),
+guessed AS (SELECT model, avg(e) AS mae_p0, stddev_samp(e) AS std_p0 FROM runs GROUP BY model),
+own AS (SELECT model, avg(abs_error) AS mae FROM tested GROUP BY model)
+SELECT model, round(mae, 6) AS mae, round(mae_p0, 6) AS mae_p0, round(std_p0, 6) AS std_p0,
+  round((1 - mae / mae_p0) * 100, 6) AS sa, round((mae_p0 - mae) / std_p0, 6) AS glass_delta FROM own JOIN guessed USING (model)""")
+def sa_random_draws(spark, sf_dir):
+    """Accuracy over random guessing from 200 seeded runs."""
+    return tidy(metrics.accuracy_over_draws(standins.predictions(spark, sf_dir), ["model"], _DRAWS))
+
+
 @query(f"""WITH {views.PREDICTIONS}, means AS (SELECT model, avg(actual_hours) AS m FROM tested GROUP BY model)
 SELECT model, round((1 - sum(abs_error) / sum(abs(actual_hours - m))) * 100, 6) AS sa_mean
 FROM tested JOIN means USING (model) GROUP BY model""")

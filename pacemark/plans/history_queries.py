@@ -60,6 +60,33 @@ def history_cache_refresh(spark, sf_dir):
     return tidy(sinks.refresh_feature_cache(spark, cache, cache, pairs, compute))
 
 
+_BEFORE_SQL = """past AS (
+  SELECT p.repo, p.issue_number, o.path, created_us, CAST(coalesce(sum(c.added), 0) AS BIGINT) AS added,
+    CAST(coalesce(sum(c.deleted), 0) AS BIGINT) AS deleted, count(c.path) AS commits, max(c.at_us) AS last_us
+  FROM order_pairs p JOIN commit_files o ON o.repo = p.repo AND o.commit_id = p.issue_number
+  LEFT JOIN commit_files c ON c.repo = o.repo AND c.path = o.path AND c.at_us < p.created_us GROUP BY ALL)"""
+
+
+@query(f"""WITH {views.COMMIT_FILES}, {views.ORDER_PAIRS}, {_BEFORE_SQL}
+SELECT repo, issue_number, path, added, deleted, commits, last_us FROM past""")
+def file_history_before(spark, sf_dir):
+    """Churn of the files of each pair before it was created."""
+    pairs, own, commits = _tables(spark, sf_dir)
+    past = history.history_before(own.join(pairs.select(*KEY, "issue_created_at"), KEY), commits)
+    return past.withColumn("last_us", F.unix_micros("last_modified")).drop("last_modified")
+
+
+@query(f"""WITH {views.COMMIT_FILES}, {views.ORDER_PAIRS}, {_BEFORE_SQL}
+SELECT p.repo, p.issue_number, count(path) AS num_files, CAST(coalesce(sum(added), 0) AS BIGINT) AS churn_added_before,
+  CAST(coalesce(sum(deleted), 0) AS BIGINT) AS churn_deleted_before, CAST(coalesce(sum(commits), 0) AS BIGINT) AS commits_before,
+  coalesce(max(commits), 0) AS max_change_frequency_before, count(last_us) AS files_changed_before,
+  round((any_value(p.created_us) - max(last_us)) / 8.64e10, 6) AS days_since_change
+FROM order_pairs p LEFT JOIN past USING (repo, issue_number) GROUP BY ALL""")
+def history_before(spark, sf_dir):
+    """What was known of each pair's files when it was created."""
+    return tidy(history.features_before(*_tables(spark, sf_dir)))
+
+
 _SCORES_SQL = """vec AS (
   SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 center AS (SELECT i, avg(v) AS m FROM vec GROUP BY i),

@@ -194,3 +194,43 @@ def test_shares_come_largest_first(spark):
     shares = cleaning.repo_shares(raw(spark, few=dict(repo="small"))).collect()
     assert [(r.repo, r.n) for r in shares] == [("r", 12), ("small", 1)]
     assert sum(r.percent for r in shares) == pytest.approx(100)
+
+
+def before(pairs, files, commits):
+    out = Counter()
+    for repo, number, path in files:
+        created = next(p[2] for p in pairs if p[:2] == (repo, number))
+        mine = [c for c in commits if c[0] == repo and c[3] == path and c[2] is not None and created is not None and c[2] < created]
+        out[repo, number, path, sum(c[4] or 0 for c in mine), sum(c[5] or 0 for c in mine), len(mine),
+            max((c[2] for c in mine), default=None)] += 1
+    return out
+
+
+@pytest.mark.parametrize("slot_days", [1, 7, 1000])
+def test_history_before_the_pair(spark, slot_days):
+    pairs, files, commits = made_up(3, hub=True)
+    # a commit at the very time does not count; times and numbers may be missing; rows may repeat
+    commits += [("r", 900, pairs[0][2], "f0", 7, 7), ("r", 901, None, "f0", 9, 9), ("r", 902, START - 400 * DAY, "f0", None, None)]
+    pairs.append(("r", 99, None))
+    files += [("r", 99, "f0"), ("r", 0, "f0"), ("r", 0, "f0")]
+    own = spark.createDataFrame(files, FILES).join(spark.createDataFrame(pairs, PAIRS), ["repo", "issue_number"])
+    past = history.history_before(own, spark.createDataFrame(commits, COMMITS).repartition(5), slot_days)
+    got = Counter(tuple(r) for r in past.select("repo", "issue_number", "path", "added", "deleted", "commits", "last_modified").collect())
+    assert got == before(pairs, files, commits)
+    # a file in a third of all commits is spread over its slots
+    hot = sum(c[3] == "f0" for c in commits)
+    assert hot > len({c[:2] for c in commits}) / 3
+
+
+def test_features_before_the_pair(spark):
+    pairs = spark.createDataFrame([("r", 1, START), ("r", 2, START), ("r", 3, None)], PAIRS)
+    files = spark.createDataFrame([("r", 1, "a"), ("r", 1, "b"), ("r", 3, "a")], FILES)
+    commits = spark.createDataFrame([("r", 1, START - 2 * DAY, "a", 3, 1), ("r", 2, START - DAY / 2, "a", 1, 1),
+                                     ("r", 3, START, "b", 5, 5), ("s", 4, START - DAY, "b", 5, 5)], COMMITS)
+    got = {r.issue_number: r for r in history.features_before(pairs, files, commits).collect()}
+    one = got[1]
+    assert (one.num_files, one.churn_added_before, one.churn_deleted_before, one.commits_before, one.files_changed_before,
+            one.max_change_frequency_before, one.days_since_change) == (2, 4, 2, 2, 1, 2, 0.5)
+    assert (got[2].num_files, got[2].commits_before, got[2].days_since_change) == (0, 0, None)
+    assert (got[3].num_files, got[3].commits_before) == (1, 0)
+    assert history.features_before(pairs.limit(0), files, commits).collect() == []

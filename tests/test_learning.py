@@ -13,7 +13,7 @@ from pacemark.operators import embeddings, learning, scoring, sensitivity
 from pacemark.streaming import estimate as stream_estimate
 from pacemark.streaming import ingest
 
-BUDGET = learning.Budget(trials=1, folds=2, trees=(4, 4))
+BUDGET = learning.Budget(trials=3, folds=2, trees=(15, 15), depth=(2, 4))
 
 
 @pytest.fixture(scope="module")
@@ -113,8 +113,8 @@ def test_attribution_means(spark):
 def test_search_space_stays_in_its_ranges():
     drawn = learning.search_space(learning.Budget(trials=40))
     assert drawn == learning.search_space(learning.Budget(trials=40))
-    assert all(100 <= d["maxIter"] <= 1000 and 3 <= d["maxDepth"] <= 10 and 0.01 <= d["stepSize"] <= 0.3
-               and 0.6 <= d["subsamplingRate"] <= 1 and 1 <= d["minInstancesPerNode"] <= 10 for d in drawn)
+    assert all(100 <= d.trees <= 1000 and 3 <= d.depth <= 10 and 0.01 <= d.rate <= 0.3 and 0.6 <= d.row_share <= 1
+               and 0.5 <= d.column_share <= 1 and 1e-3 <= d.l1 <= 10 and 1e-3 <= d.l2 <= 10 and 1 <= d.least_rows <= 10 for d in drawn)
 
 
 @pytest.fixture(scope="module")
@@ -155,7 +155,7 @@ def test_evaluation(trained):
 
 
 def test_models_are_trained_anew_under_every_cap(features):
-    budget = learning.Budget(trials=1, folds=2, trees=(2, 2))
+    budget = learning.Budget(trials=1, folds=2, trees=(2, 2), depth=(2, 3))
     table = sensitivity.trained_sensitivity(features, [0, 4, None], k=2, budget=budget).collect()
     assert sorted(r.threshold for r in table) == ["4d", "no cap"]
     by = {r.threshold: r for r in table}
@@ -173,13 +173,45 @@ def test_importance_finds_the_feature_that_matters(trained, training):
     assert shuffled.count() == len(fv.HISTORY_FEATURES) and shuffled.first().feature == "num_files"
 
 
+def test_the_best_setting_wins_and_folds_are_not_seen(trained, training):
+    t = trained["B"]
+    assert len(t.scores) == 3
+    best = min(t.scores, key=lambda x: x["log_mae"])
+    assert {k: v for k, v in best.items() if k != "log_mae"} == t.params
+    train = t.predictions.where("split = 'train'").select(F.abs(F.log1p("predicted_hours") - F.log1p("actual_hours")).alias("e"))
+    # hours are never negative, so the two errors agree where no estimate was cut off
+    assert train.toPandas()["e"].mean() == pytest.approx(best["log_mae"], rel=0.02)
+
+
+def test_a_sweep_grows_what_single_runs_grow(training):
+    settings, budget = [("pca", 2), ("topk", 1), ("none", None)], learning.Budget(trials=1, folds=2, trees=(3, 3), depth=(2, 3))
+    together = {r.setting: r.mae for r in learning.sweep(training, settings, fv.TEXT_FEATURES, budget).collect()}
+    assert set(together) == {"PCA-2", "TOPK-1", "NONE"}
+    # without a draw of columns the columns of other variants change nothing
+    alone = learning.train_variant(training, "x", fv.TEXT_FEATURES, "none", None, budget)
+    assert learning.evaluate({"x": alone}).first().mae == pytest.approx(together["NONE"], rel=0.05)
+
+
+def test_attributions_of_a_model_add_up(trained, training):
+    tested = training.where("split = 'test'")
+    for t in trained.values():
+        got = learning.attributed(t, tested)
+        assert got.count() == tested.count()
+        hours = dict(rows_of(t.predictions.where("split = 'test'"), "issue_number", "predicted_hours"))
+        for r in got.collect():
+            assert len(r.attribution) == len(t.feature_names) and sum(r.attribution) == pytest.approx(r.prediction - r.expected)
+            assert hours[r.issue_number] == pytest.approx(max(np.expm1(r.prediction), 0))
+        means = learning.mean_attribution(got, "attribution", t.feature_names).collect()
+        assert [r.feature for r in means][0] in ("num_files", "complexity_score", "text_length", *fv.TEXT_FEATURES)
+
+
 def test_saved_models_score_the_same(spark, trained, training, tmp_path):
     for name in ("A", "B"):
         scoring.save_bundle(trained[name], str(tmp_path))
     bundles = scoring.Bundles(spark, str(tmp_path))
     assert bundles.available("A") and not bundles.available("C") and bundles.about("C") is None
     about = {r.split: r for r in bundles.about("B").collect()}
-    assert about["test"].feature_names == trained["B"].feature_names and json.loads(about["test"].params)["maxIter"] == 4
+    assert about["test"].feature_names == trained["B"].feature_names and json.loads(about["test"].params)["trees"] == 15
     assert about["train"].n + about["test"].n == training.count() and about["train"].mae > 0
     out = {(r.model, r.issue_number): r for r in scoring.estimate_all(training, bundles).collect()}
     assert out["C", 0].hours is None and out["C", 0].error == "Model not trained yet"

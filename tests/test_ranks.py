@@ -1,6 +1,9 @@
 """Rank sums, quantiles and metrics against brute force."""
 
+import hashlib
 import math
+import random
+import statistics
 from itertools import combinations, product
 
 import numpy as np
@@ -207,3 +210,35 @@ def test_the_normal_p_can_be_asked_for(spark):
     assert auto.p_value == pytest.approx(50 / 256)
     with pytest.raises(ValueError, match="unknown method"):
         comparison.wilcoxon(df, ["g"], "other")
+
+
+def draw(seed, run, keys, n):
+    return int(hashlib.md5("|".join([str(seed), str(run), *map(str, keys)]).encode()).hexdigest()[:13], 16) % n
+
+
+@pytest.mark.parametrize("span", [1, 16, 1000])
+def test_drawn_guesses_equal_plain_draws_and_lie_near_the_exact_value(spark, span):
+    rng = random.Random(8)
+    rows = [(m, i, rng.choice([1.0, 1.0, 1.0, 5.0, round(rng.expovariate(0.1), 2)]) if i % 9 else None, i % 4 == 0)
+            for m in ("a", "b", None) for i in range(160)] + [("only test", 1, 2.0, True), ("only train", 1, 2.0, False)]
+    df = spark.createDataFrame(rows, "m string, i long, v double, test boolean").repartition(3)
+    got = {r.m: r for r in ranks.drawn_guess_error(df, ["m"], "v", F.col("test"), ["i"], 300, 5, span).collect()}
+    exact = {r.m: r for r in ranks.random_guess_error(df, ["m"], "v", F.col("test")).collect()}
+    assert set(got) == {"a", "b", None}
+    for m, r in got.items():
+        train = sorted(v for n, _, v, t in rows if n == m and not t and v is not None)
+        tested = [(i, v) for n, i, v, t in rows if n == m and t and v is not None]
+        runs = [sum(abs(v - train[draw(5, d, [i], len(train))]) for i, v in tested) / len(tested) for d in range(300)]
+        assert (r.n_test, r.draws) == (len(tested), 300)
+        assert r.mae_p0 == pytest.approx(statistics.mean(runs)) and r.std_p0 == pytest.approx(statistics.stdev(runs))
+        assert abs(r.mae_p0 - exact[m].mae_p0) < 3 * exact[m].std_p0 / 300 ** 0.5
+
+
+def test_rank_directory_holds_every_rank_once(spark):
+    values = [3.0] * 50 + [1.0, 2.0, 2.0, None, 7.5] + [float(i % 13) for i in range(100)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double").repartition(4)
+    rows = ranks.rank_directory(df, ["g"], "v", 8).collect()
+    ordered = sorted(v for v in values if v is not None)
+    for rank, v in enumerate(ordered):
+        [own] = [r for r in rows if r.part == rank // 8 and r.first <= rank <= r.last]
+        assert own.v == v
