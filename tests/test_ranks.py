@@ -221,9 +221,9 @@ def test_drawn_guesses_equal_plain_draws_and_lie_near_the_exact_value(spark, spa
     rng = random.Random(8)
     rows = [(m, i, rng.choice([1.0, 1.0, 1.0, 5.0, round(rng.expovariate(0.1), 2)]) if i % 9 else None, i % 4 == 0)
             for m in ("a", "b", None) for i in range(160)] + [("only test", 1, 2.0, True), ("only train", 1, 2.0, False)]
-    df = spark.createDataFrame(rows, "m string, i long, v double, test boolean").repartition(3)
-    got = {r.m: r for r in ranks.drawn_guess_error(df, ["m"], "v", F.col("test"), ["i"], 300, 5, span).collect()}
-    exact = {r.m: r for r in ranks.random_guess_error(df, ["m"], "v", F.col("test")).collect()}
+    df = spark.createDataFrame(rows, "model string, i long, v double, test boolean").repartition(3)
+    got = {r.model: r for r in ranks.drawn_guess_error(df, ["model"], "v", F.col("test"), ["i"], 300, 5, span).collect()}
+    exact = {r.model: r for r in ranks.random_guess_error(df, ["model"], "v", F.col("test")).collect()}
     assert set(got) == {"a", "b", None}
     for m, r in got.items():
         train = sorted(v for n, _, v, t in rows if n == m and not t and v is not None)
