@@ -222,7 +222,7 @@ def stream_ingest(spark, sf_dir):
         stacked(lines.where(delivery == i), again).write.mode("append").parquet(inbox)
         ingest.start_ingest(ingest.read_arrivals(spark, inbox, lines.schema), target, f"{target}-checkpoint",
                             _LINE_KEY, _LINE_ORDER).awaitTermination()
-    return tidy(spark.read.parquet(target).drop("ingest_batch", "l_shipdate"))
+    return tidy(spark.read.parquet(target).drop("key_part", "ingest_batch", "l_shipdate"))
 
 
 @query()

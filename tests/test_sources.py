@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from conftest import rows_of
@@ -158,3 +159,22 @@ def test_a_repeated_batch_writes_the_same_rows(spark, tmp_path):
     for batch, number in ((one, 0), (two, 1), (two, 1)):
         ingest.ingest_batch(batch, number, target, ["repo", "issue_number"], ["at"])
     assert rows_of(spark.read.parquet(target), "issue_number", "at") == [(1, 1), (2, 1)]
+
+
+def test_a_batch_reads_only_the_parts_it_touches(spark, tmp_path):
+    target = str(tmp_path / "target")
+    schema = "repo string, issue_number long, at long"
+    large = spark.createDataFrame([("r", i, 0) for i in range(400)], schema)
+    ingest.ingest_batch(large, 0, target, ["repo", "issue_number"], ["at"])
+    small = spark.createDataFrame([("r", 7, 1), ("r", 1000, 1), ("r", 1000, 2)], schema)
+    part = ingest.key_part(["repo", "issue_number"])
+    touched = sorted({r.p for r in small.select(part.alias("p")).collect()})
+    seen = ingest.seen_keys(spark, target, 1, touched, ["repo", "issue_number"])
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*key_part[^\]]*" + str(touched[0]), plan)
+    files = {r.f.split("key_part=")[1].split("/")[0] for r in seen.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert files <= {str(p) for p in touched} and 0 < seen.count() < 400
+    for _ in range(2):
+        ingest.ingest_batch(small, 1, target, ["repo", "issue_number"], ["at"])
+        held = spark.read.parquet(target)
+        assert held.count() == 401 and rows_of(held.where("ingest_batch = 1"), "issue_number", "at") == [(1000, 1)]
