@@ -3,8 +3,8 @@
 Calls carry a conversation, an identifier, a turn, a tool, arguments as JSON text and the
 identifiers they depend on; results a conversation, an identifier, a turn and content.
 
-* Of several calls with one identifier the earliest (turn, then arguments) counts, the others are
-  reported as ``duplicate``; likewise for results, where later ones are left out.
+* Of several calls with one identifier the earliest (turn, then tool and arguments) counts, the others come out as
+  ``duplicate`` with their own turn, tool and record; likewise for results, where later ones are ``repeated``.
 * The level of a call is the length of its longest chain of dependencies. Chains of calls with one
   dependency are shortened by pointer doubling, so a chain of any length costs a logarithmic number
   of rounds. Calls with several dependencies are dealt into blocks of neighbouring turns; a task
@@ -13,17 +13,21 @@ identifiers they depend on; results a conversation, an identifier, a turn and co
 * The position of a call in its conversation follows level, turn and identifier. It is taken from
   one range-partitioned order of all calls, so a conversation of any size needs no single task.
 * Arguments are checked against the schema of the tool (name, type and need of each parameter).
-* The record is JSON with sorted keys and no spaces, the same for equal content.
-
-Status: ``duplicate``, ``no_id``, ``cyclic``, ``invalid``, ``unanswered`` or ``ok``, the first that
-applies; results without a call are ``orphan``. Calls without conversation or identifier are linked
-with nothing. Empty tables give no rows. Other columns of the inputs are ignored.
+* The record is JSON with sorted keys and no spaces, the same for equal content: a number with no fraction is written
+  without one, and half of a surrogate pair as its escape. ``NaN`` and infinities are not JSON; a number beyond doubles is
+  ``number too large``. In both cases the record holds the arguments as text.
+
+Status of calls: ``duplicate``, ``no_id``, ``cyclic``, ``invalid``, ``unanswered`` or ``ok``, the first that applies. Every
+result comes out once too: with its call, as ``repeated``, or as ``orphan`` where it has no call or no identifier. Calls
+without conversation or identifier are linked with nothing. Empty tables give no rows. Other columns of the inputs are
+ignored. Texts of any length are checked whole, one row at a time.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,15 +42,12 @@ _AT = ["conv_id", "call_id"]
 BLOCK_CALLS = 20_000
 
 
-def unique_calls(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The earliest call of every identifier, and all others with their status."""
-    known = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL")
-    first = known.groupBy(*_AT).agg(F.min(F.struct("turn", "tool", "arguments", "depends_on")).alias("c"), F.count("*").alias("n"))
-    kept = first.select(*_AT, "c.*")
-    again = first.where("n > 1").select(*_AT, F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))).alias("_"))
-    lost = (again.select(*_AT, F.lit("duplicate").alias("status")).unionByName(
-        calls.where("conv_id IS NULL OR call_id IS NULL").select(*_AT, F.lit("no_id").alias("status"))))
-    return kept, lost
+def first_of_each(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The row of every identifier that is first in ``order``, and all other rows, those without identifier included."""
+    numbered = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    first = (numbered.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*_AT)
+             .agg(F.min(F.struct(*order, "row")).alias("c")).select(*_AT, "c.*"))
+    return first.drop("row"), numbered.join(first.select("row"), "row", "left_anti").drop("row")
 
 
 def _ranked(rows: DataFrame, order: list) -> DataFrame:
@@ -169,10 +170,27 @@ _TYPES = {"string": lambda v: isinstance(v, str), "integer": lambda v: isinstanc
           "array": lambda v: isinstance(v, list), "object": lambda v: isinstance(v, dict)}
 
 
+class TooLarge(ValueError):
+    """A number that no double holds."""
+
+
+def _number(text: str) -> float | int:
+    value = float(text)
+    if math.isinf(value):
+        raise TooLarge(text)
+    return int(value) if value.is_integer() and abs(value) < 2 ** 53 else value
+
+
+def _constant(text: str):
+    raise ValueError(text)
+
+
 def check_arguments(text: str | None, schema: list[dict] | None) -> tuple[object, list[str]]:
     """Parsed arguments and what is wrong with them, in order of the parameter names."""
     try:
-        value = json.loads(text or "")
+        value = json.loads(text or "", parse_float=_number, parse_constant=_constant)
+    except TooLarge:
+        return None, ["number too large"]
     except (ValueError, RecursionError):
         return None, ["not json"]
     if schema is None:
@@ -183,11 +201,27 @@ def check_arguments(text: str | None, schema: list[dict] | None) -> tuple[object
     wrong = [(n, "missing") for n, p in known.items() if p["required"] and n not in value]
     wrong += [(n, "unknown") for n in value if n not in known]
     wrong += [(n, "type") for n, v in value.items() if n in known and not _TYPES.get(known[n]["type"], lambda v: True)(v)]
-    return value, [f"{what} {name}" for name, what in sorted(wrong)]
+    return value, [_escaped(f"{what} {name}") for name, what in sorted(wrong)]
+
+
+def _escaped(text: str) -> str:
+    """Halves of surrogate pairs, which no text in UTF-8 holds, as their JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+_UNREAD = (["not json"], ["number too large"])
+
+
+def _result_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(batch.column("call_id").to_pylist(), batch.column("content").to_pylist())
+        records = pa.array([canonical({"id": i, "result": c}) for i, c in rows], pa.string())
+        keep = [n for n in batch.schema.names if n != "content"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), records], names=[*keep, "record"])
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +231,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, wrong = check_arguments(r["arguments"], r["schema"])
             errors.append(wrong)
             records.append(canonical({
-                "arguments": r["arguments"] if wrong[:1] == ["not json"] else value, "id": r["call_id"], "name": r["tool"],
+                "arguments": r["arguments"] if wrong[:1] in _UNREAD else value, "id": r["call_id"], "name": r["tool"],
                 "result": r["content"]}))
         keep = [n for n in batch.schema.names if n not in ("arguments", "schema", "content")]
         yield pa.RecordBatch.from_arrays(
@@ -205,26 +239,38 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=[*keep, "errors", "record"])
 
 
+def _schema(rows: DataFrame, without: tuple[str, ...], more: str) -> str:
+    return ", ".join(f"{n} {t}" for n, t in rows.dtypes if n not in without) + ", " + more
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Per call, and per result without one: identifiers, tool, status, errors, level, position and record."""
-    kept, lost = unique_calls(calls.select(*_AT, "turn", "tool", "arguments", "depends_on"))
+    """One row per call, and per result that goes with none: identifiers, tool, status, errors, level, position and record."""
+    kept, lost = first_of_each(calls.select(*_AT, "turn", "tool", "arguments", "depends_on"), ["turn", "tool", "arguments", "depends_on"])
     kept = written(kept, "calls")
-    answers = (results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*_AT)
-               .agg(F.min(F.struct(F.col("turn").alias("result_turn"), "content")).alias("r")).select(*_AT, "r.*"))
+    answers, more = first_of_each(results.select(*_AT, F.col("turn").alias("result_turn"), "content"), ["result_turn", "content"])
     answers = written(answers, "results")
     ordered = written(levels(kept.select(*_AT, "turn", "depends_on")).join(kept.select(*_AT, "turn"), _AT), "levels")
     places = ordered.drop("turn").join(positions(ordered), _AT)
     by_tool = schemas.groupBy("tool").agg(F.collect_list(F.struct("param", "type", "required")).alias("schema"))
-    full = (kept.join(answers, _AT, "left").join(places, _AT).join(by_tool, "tool", "left")
-            .select(*_AT, "turn", "tool", "level", "position", "result_turn", "arguments", "content", "schema"))
-    kinds = {n: t for n, t in full.dtypes if n not in ("arguments", "content", "schema")}
-    checked = full.mapInArrow(_records, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", errors array<string>, record string")
+
+    def recorded(rows: DataFrame) -> DataFrame:
+        full = rows.join(by_tool, "tool", "left")
+        return full.mapInArrow(_records, _schema(full, ("arguments", "content", "schema"), "errors array<string>, record string"))
+
+    linked = recorded(kept.drop("depends_on").join(answers, _AT, "left").join(places, _AT))
     status = (F.when(F.col("level").isNull(), "cyclic").when(F.size("errors") > 0, "invalid")
               .when(F.col("result_turn").isNull(), "unanswered").otherwise("ok"))
-    linked = checked.select(*_AT, "turn", "tool", status.alias("status"), F.array_join("errors", ";").alias("errors"),
-                            "level", "position", "result_turn", "record")
-    orphans = answers.join(kept.select(*_AT), _AT, "left_anti").select(*_AT, F.lit("orphan").alias("status"), "result_turn")
-    return (linked.unionByName(lost, allowMissingColumns=True).unionByName(orphans, allowMissingColumns=True))
+    columns = [*_AT, "turn", "tool", "status", F.array_join("errors", ";").alias("errors")]
+    linked = linked.withColumn("status", status).select(*columns, "level", "position", "result_turn", "record")
+    nameless = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    others = recorded(lost.drop("depends_on").withColumns({
+        "content": F.lit(None).cast("string"), "status": F.when(nameless, "no_id").otherwise("duplicate")}))
+    orphans = answers.join(kept.select(*_AT), _AT, "left_anti").withColumn("status", F.lit("orphan"))
+    repeated = more.withColumn("status", F.when(nameless, "orphan").otherwise("repeated")).select(*orphans.columns)
+    unmatched = orphans.unionByName(repeated)
+    unmatched = unmatched.mapInArrow(_result_records, _schema(unmatched, ("content",), "record string"))
+    return (linked.unionByName(others.select(*columns, "record"), allowMissingColumns=True)
+            .unionByName(unmatched, allowMissingColumns=True))
 
 
 def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
