@@ -63,8 +63,12 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def append_checked(log: DataFrame, new: DataFrame, path: str) -> None:
-    """Add keys to the log of seen items, each once; keys it already holds are not repeated."""
-    keys.only_new(new, log, KEY).dropDuplicates(KEY).write.mode("append").parquet(path)
+    """Add keys to the log of seen items, each once; keys it already holds are not repeated.
+
+    Of several rows of a new key the smallest in its other columns, in their order, is kept.
+    """
+    order = [c for c in new.columns if c not in KEY]
+    keys.keep_first(keys.only_new(new, log, KEY), KEY, order or KEY).write.mode("append").parquet(path)
 
 
 def refresh_feature_cache(spark: SparkSession, cache_path: str, target_path: str,

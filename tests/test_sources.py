@@ -178,3 +178,12 @@ def test_a_batch_reads_only_the_parts_it_touches(spark, tmp_path):
         ingest.ingest_batch(small, 1, target, ["repo", "issue_number"], ["at"])
         held = spark.read.parquet(target)
         assert held.count() == 401 and rows_of(held.where("ingest_batch = 1"), "issue_number", "at") == [(1000, 1)]
+
+
+def test_the_log_keeps_the_smallest_row_of_a_repeated_key(spark, tmp_path):
+    schema = "repo string, issue_number long, at long, outcome string"
+    path = str(tmp_path / "log")
+    spark.createDataFrame([("r", 1, 0, "kept")], schema).write.parquet(path)
+    new = spark.createDataFrame([("r", 2, 5, "kept"), ("r", 2, 3, "rejected"), ("r", 2, 3, "failed"), ("r", 1, 0, "failed")], schema)
+    sinks.append_checked(spark.read.parquet(path), new.repartition(3), path)
+    assert rows_of(spark.read.parquet(path), "issue_number", "at", "outcome") == [(1, 0, "kept"), (2, 3, "failed")]
