@@ -242,3 +242,9 @@ def test_rank_directory_holds_every_rank_once(spark):
     for rank, v in enumerate(ordered):
         [own] = [r for r in rows if r.part == rank // 8 and r.first <= rank <= r.last]
         assert own.v == v
+
+
+def test_a_group_column_may_be_called_m(spark):
+    df = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, False), ("b", 2.0, True), ("b", 7.0, False)], "m string, v double, test boolean")
+    got = {r.m: r.mae_p0 for r in ranks.random_guess_error(df, ["m"], "v", F.col("test")).collect()}
+    assert got == {"a": 2.0, "b": 5.0}
