@@ -111,11 +111,45 @@ def test_quantiles_are_exact(spark):
     assert (whole.n, whole.m) == (len(every), pytest.approx(np.median(every)))
 
 
-def test_only_a_small_share_of_a_large_group_is_sorted(spark):
-    df = spark.range(200_000).select(F.col("id").cast("double").alias("_v"))
+def test_keys_have_the_order_and_bits_of_doubles(spark):
+    rng = np.random.RandomState(3)
+    edges = [0.0, -0.0, 1.0, 2.0, 0.5, 1e308, 1.7976931348623157e308, 5e-324, 2.2250738585072014e-308,
+             2.225073858507201e-308, 1e-310, float("inf")]
+    powers = [2.0 ** e for e in range(-1074, 1024, 3)]
+    below = [float(np.nextafter(x, 0)) for x in powers] + [float(np.nextafter(x, np.inf)) for x in powers]
+    values = np.array(edges + powers + below + list(np.exp(rng.uniform(-700, 700, 3000))))
+    values = np.concatenate([values, -values])
+    df = spark.createDataFrame([(float(v),) for v in values], "_v double")
+    for v, key in quantiles.with_order_key(df).collect():
+        bits = int(np.float64(abs(v)).view(np.int64))
+        assert key == (-bits if v < 0 else bits), v
+
+
+def test_no_task_sorts_more_than_a_digit(spark):
+    df = spark.range(200_000).select(F.col("id").cast("double").alias("_v"), F.lit("hot").alias("g"))
     assert quantiles.quantiles(df, [], "_v", {"m": 0.5}).first().m == 99_999.5
-    bracket = quantiles._brackets(df, [], [0.5]).first()
-    assert bracket._lo0 <= 99_999 and bracket._hi0 >= 100_000 and bracket._hi0 - bracket._lo0 <= 60
+    inside = quantiles._inside(df, ["g"], [0.5])
+    # the first digit leaves 256 cells per power of two, two of which hold the median
+    assert inside.count() <= 2 * 65_536 / 256
+    # three digits of 20, 22 and 22 bits make up the key, which no value exceeds
+    assert 64 - quantiles._BELOW_FIRST <= 22 and quantiles._BELOW_FIRST - quantiles._BELOW_SECOND <= 22 and quantiles._BELOW_SECOND <= 22
+
+
+def test_quantiles_among_values_that_differ_in_the_last_bits(spark):
+    values = [1.0]
+    for _ in range(4000):
+        values.append(float(np.nextafter(values[-1], 2)))
+    values += [-x for x in values[:1500]] + [7.0] * 3000 + [-0.0, 0.0, float("inf"), float("-inf"), 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    ranks_wanted = {f"p{i}": i / (len(values) - 1) for i in (0, 1, 700, 1499, 1502, 3000, 5000, 6000, len(values) - 1)}
+    got = quantiles.quantiles(df, [], "v", ranks_wanted).first()
+    ordered = sorted(values)
+    for name, p in ranks_wanted.items():
+        place = (len(values) - 1) * p
+        assert ordered[math.floor(place)] <= got[name] <= ordered[math.ceil(place)], name
+    nothing = quantiles.quantiles(df.where("v is null"), [], "v", {"m": 0.5}).first()
+    assert nothing.m is None and not nothing.n
+    assert quantiles.quantiles(df.where("v is null").withColumn("g", F.lit(1)), ["g"], "v", {"m": 0.5}).count() == 0
 
 
 def test_quantiles_of_several_columns(spark):
