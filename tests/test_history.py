@@ -154,6 +154,33 @@ def test_duration_from_the_first_assignment(spark):
     assert got == {1: 120.0, 2: 144.0, 3: 120.0, 5: 168.0}
 
 
+def test_linking_scans_the_timeline_once(spark, tmp_path):
+    issues, timeline, pulls, commits = linked(spark)
+    timeline.write.parquet(str(tmp_path / "timeline"))
+    stored = spark.read.parquet(str(tmp_path / "timeline"))
+    pairs = linking.linked_pairs(issues, stored, pulls, commits)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "event_order" in line for line in plan.splitlines()) == 1
+    assert sorted(r.issue_number for r in pairs.collect()) == [1, 2, 3, 5]
+
+
+def test_linking_of_odd_numbers_and_missing_values(spark):
+    issues, timeline, pulls, commits = linked(spark)
+    odd = spark.createDataFrame([
+        ("r", 200, START + DAY, "closes #99999999999999999999999 and #0004", None), ("r", None, START + DAY, "#4", None),
+        (None, 201, START + DAY, "#4", None)], pulls.schema)
+    events = spark.createDataFrame([
+        ("r", 6, 1, "cross-referenced", START, None, 102, None), ("r", 6, 2, "closed", START, None, None, None),
+        ("r", 6, 3, "labeled", START, "r", 102, 7), (None, None, 1, "cross-referenced", START, None, None, None),
+        # the same event twice
+        ("r", 3, 1, "cross-referenced", START, "r", 102, None)], timeline.schema)
+    got = rows_of(linking.first_merged_change(issues, timeline.union(events), pulls.union(odd), commits),
+                  "issue_number", "pr_number", "via")
+    assert got == [(1, 101, "commit"), (2, 102, "mention"), (3, 102, "reference"), (4, 200, "mention"), (5, 103, "mention")]
+    none = linking.linked_pairs(issues, timeline.limit(0), pulls.limit(0), commits.limit(0))
+    assert none.count() == 0
+
+
 RAW = ("repo string, issue_number long, issue_title string, issue_body string, issue_labels array<string>, "
        "issue_created_at timestamp, pr_merged_at timestamp, num_files_changed long, duration_hours double, at long")
 
