@@ -257,7 +257,6 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: st
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id",
                       text: str = "text", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """All columns of the documents that hold no passage of an item; rows without a key stay."""
-    hit = matches(docs, items, key, item_key, text, item_text, threshold).select(F.col(key).alias("_hit")).distinct()
-    hit = written(hit, "contaminated")
-    return docs.join(hit, F.col(key) == F.col("_hit"), "left_anti")
+    """All columns, whatever their names, of the documents that hold no passage of an item; rows without a key stay."""
+    hit = matches(docs, items, key, item_key, text, item_text, threshold).select(key).distinct()
+    return docs.join(written(hit, "contaminated"), key, "left_anti")

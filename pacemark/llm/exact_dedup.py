@@ -124,10 +124,9 @@ def chains(index: Index) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of the rows that stay. Rows without a key, or with a key that occurs twice, stay
-    only if their own text is the kept one."""
-    gone = exact_groups(docs, key, text).where(~F.col("kept")).select(
-        F.col(key).alias("_gone"), F.col("text_sha256").alias("_sha"))
-    gone = written(gone, "copies").distinct()
-    marked = docs.withColumn("_mine", F.sha2(normalised(F.col(text)), 256))
-    return marked.join(gone, F.col(key).eqNullSafe(F.col("_gone")) & (F.col("_mine") == F.col("_sha")), "left_anti").drop("_mine")
+    """All columns, whatever their names, of the rows that stay. Rows without a key, or with a key that
+    occurs twice, stay only if their own text is the kept one."""
+    copies = exact_groups(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("copy"), "text_sha256")
+    gone = written(copies, "copies").distinct()
+    same = docs[key].eqNullSafe(gone["copy"]) & (F.sha2(normalised(docs[text]), 256) == gone["text_sha256"])
+    return docs.join(gone, same, "left_anti")

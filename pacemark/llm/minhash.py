@@ -267,7 +267,6 @@ def _links_of_keys(filled: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """All columns of the rows whose document represents its group; rows with its key stay together."""
-    gone = near_groups(docs, key, text, threshold).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    gone = written(gone, "near-copies")
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    """All columns, whatever their names, of the rows whose document represents its group; rows with its key stay together."""
+    gone = written(near_groups(docs, key, text, threshold).where(~F.col("kept")).select(key).distinct(), "near-copies")
+    return docs.join(gone, key, "left_anti")

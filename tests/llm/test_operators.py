@@ -104,6 +104,19 @@ def test_copies_are_dropped_with_all_columns(docs):
         (False, i) for i in (1, 3, 4, 5, 7, 9, 10, 11, 12, 13, 14)]
 
 
+CLASHING = ("_mine _gone _sha _hit copy text_sha256 kept keep_id group_size component_id n_shingles digest size slot bucket "
+            "item_id similarity").split()
+
+
+def test_dropping_keeps_columns_of_any_name(spark, docs):
+    more = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    items = spark.createDataFrame([(1, sentence(random.Random(5), 60))], "item_id long, text string")
+    for kept in (exact_dedup.drop_copies(more), minhash.drop_near_copies(more), decontamination.drop_contaminated(more, items)):
+        rows = kept.collect()
+        assert kept.columns == more.columns and 0 < len(rows) < more.count()
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+
+
 @pytest.mark.parametrize("above,cell", [(85, 256), (80, 1)])
 def test_near_groups(docs, above, cell):
     rows = texts_of(docs)
