@@ -17,7 +17,8 @@ from pacemark.operators.unions import stacked
 from pacemark.session import written
 from pacemark.sources.schemas import KEY
 
-HUB_DEGREE = 1000  # a file with more strong partners is a hub
+#: Files of a pair, those with most partners first, whose partners are counted once per set of files. Costs only.
+FILES_AHEAD = 2
 
 
 def files_of_pairs(pairs: DataFrame, column: str = "pr_files_changed") -> DataFrame:
@@ -55,24 +56,22 @@ def cochange_edges(commit_files: DataFrame, interest: DataFrame, min_support: in
                    max_files: int = fv.MAX_FILES_PER_COMMIT) -> DataFrame:
     """How often a file of interest changed together with another file, directed.
 
-    Commits of more than ``max_files`` files say nothing about coupling. They are found
-    by a count with partial sums and dropped before files of a commit meet, so no long
-    list is ever built and the expansion is linear in the number of commits. Each
-    unordered pair is counted once and turned into its two directions only after the
-    count. The oversized commits and the files of interest are written first: the
-    planner then knows their size, and commits are not shuffled to meet a small table.
+    Commits of more than ``max_files`` files say nothing about coupling. Every task passes on no more
+    than ``max_files + 1`` files of a commit, so a commit of any size is a short list, and one that is
+    too long is known by its length: commits are shuffled once, and the expansion is linear in their
+    number. Each unordered pair is counted once, with partial sums, and turned into its two directions
+    only after the count. The files of interest are written first: the planner then knows their size,
+    and commits are not shuffled to meet a small table. Rows without a commit are one commit.
     """
-    oversized = written(
-        commit_files.groupBy("repo", "commit_id").agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > max_files).select("repo", "commit_id"), "oversized")
-    kept = commit_files.select("repo", "commit_id", "path").join(
-        oversized, ["repo", "commit_id"], "left_anti")
     wanted = written(interest.select("repo", "path").distinct(), "interest")
-    marked = kept.join(wanted.withColumn("wanted", F.lit(True)), ["repo", "path"], "left")
-    lists = (marked.groupBy("repo", "commit_id")
+    marked = commit_files.select("repo", "commit_id", "path").join(
+        wanted.withColumn("wanted", F.lit(True)), ["repo", "path"], "left")
+    place = F.row_number().over(Window.partitionBy("repo", "commit_id").orderBy("path"))
+    lists = (marked.withColumn("place", place).where(F.col("place") <= max_files + 1)
+             .groupBy("repo", "commit_id")
              .agg(F.sort_array(F.collect_list(F.struct(
                  "path", F.coalesce("wanted", F.lit(False)).alias("wanted")))).alias("files"))
-             .where(F.exists("files", lambda f: f["wanted"])))
+             .where((F.size("files") <= max_files) & F.exists("files", lambda f: f["wanted"])))
     pairs = (lists.select("repo", "files", F.posexplode("files").alias("i", "one"))
              .select("repo", "one", F.explode(
                  F.slice("files", F.col("i") + 2, F.size("files"))).alias("two"))
@@ -95,44 +94,62 @@ def _roles(own_files: DataFrame, listed: DataFrame) -> DataFrame:
             .agg(F.max("is_own").alias("is_own"), F.max("is_listed").alias("is_listed")))
 
 
-def coupling(own_files: DataFrame, edges: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
-    """Distinct partners of a pair's files: all of them, and those that are not its own.
-
-    Partners of ordinary files are listed per pair. A hub has too many partners to
-    list them for every pair that touches it, and most pairs may; the partners of each
-    *set* of hubs that occurs are listed once, and pairs with that set share them.
+def _new_partners(heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per ``prefix`` of a head, of two files or more: partners of its last file that no earlier file has, as ``n``."""
+    prefixes = (heads.select("repo", "head").distinct()
+                .select("repo", F.explode(F.transform(
+                    F.sequence(F.lit(1), F.size("head")), lambda n: F.slice("head", 1, n))).alias("prefix"))
+                .where(F.size("prefix") > 1).distinct())
+    asked = (prefixes.withColumn("source", F.element_at("prefix", -1)).join(edges, ["repo", "source"])
+             .select("repo", "prefix", "partner", F.explode(F.slice(
+                 "prefix", F.lit(1), F.size("prefix") - 1)).alias("source")))
+    found = (asked.join(edges.withColumn("is_known", F.lit(1)), ["repo", "source", "partner"], "left")
+             .groupBy("repo", "prefix", "partner").agg(F.max("is_known").alias("is_known")))
+    return found.where("is_known is null").groupBy("repo", "prefix").agg(F.count("*").alias("n"))
+
+
+def coupling(own_files: DataFrame, edges: DataFrame, files_ahead: int = FILES_AHEAD) -> DataFrame:
+    """Distinct partners of a pair's files: all of them (``fan_in``), and those that are not its own (``fan_out``).
+
+    ``own_files`` has the key and a ``path``, ``edges`` a ``source`` and its ``partner``, each once. Repeated
+    files count once; pairs none of whose files has a partner are not in the result.
+
+    The files of a pair are taken by falling number of partners. The partners of the first are never
+    listed, their number is known. What each of the next adds depends on the files before it alone; it is
+    counted once for every set of files that occurs, by listing the smaller neighbourhood and asking for
+    each of its members whether a larger one has it. So files that many pairs touch, alone or together,
+    cost what their sets cost and not what their pairs do. Only files after the first ``files_ahead``
+    have their partners listed for every pair. Heads hold ``files_ahead`` paths at most, and a task passes on no
+    more of a pair, whatever number of files it has.
     """
-    hubs = written(
-        edges.groupBy("repo", F.col("source").alias("path")).agg(F.count("*").alias("_degree"))
-        .where(F.col("_degree") > hub_degree).select("repo", "path"), "hubs")
-    if hubs.isEmpty():
-        listed = (own_files.withColumnRenamed("path", "source").join(edges, ["repo", "source"])
-                  .select(*KEY, F.col("partner").alias("path")))
-        return _roles(own_files, listed).groupBy(*KEY).agg(
-            F.sum("is_listed").alias("fan_in"),
-            F.sum(F.col("is_listed") * (1 - F.col("is_own"))).alias("fan_out"))
-
-    marked = own_files.join(hubs.withColumn("is_hub", F.lit(True)), ["repo", "path"], "left")
-    hub_sets = (marked.where("is_hub").groupBy(*KEY)
-                .agg(F.sort_array(F.collect_list("path")).alias("hubs")))
-    reached = (hub_sets.select("repo", "hubs").distinct()
-               .select("repo", "hubs", F.explode("hubs").alias("source"))
-               .join(edges, ["repo", "source"])
-               .select("repo", "hubs", F.col("partner").alias("path")).distinct())
-    reach_sizes = reached.groupBy("repo", "hubs").agg(F.count("*").alias("reach_size"))
-
-    listed = (marked.where("is_hub is null").withColumnRenamed("path", "source")
-              .join(edges, ["repo", "source"]).select(*KEY, F.col("partner").alias("path")))
-    placed = (_roles(own_files, listed).join(hub_sets, KEY, "left")
-              .join(reached.withColumn("is_reached", F.lit(1)), ["repo", "hubs", "path"], "left")
-              .fillna(0, ["is_reached"]))
-    is_partner = F.greatest("is_listed", "is_reached")
-    counted = placed.groupBy(*KEY, "hubs").agg(
-        F.sum(F.col("is_listed") * (1 - F.col("is_reached"))).alias("beyond_hubs"),
-        F.sum(F.col("is_own") * is_partner).alias("own_partners"))
-    fan_in = F.col("beyond_hubs") + F.coalesce("reach_size", F.lit(0))
-    return (counted.join(reach_sizes, ["repo", "hubs"], "left")
-            .select(*KEY, fan_in.alias("fan_in"), (fan_in - F.col("own_partners")).alias("fan_out")))
+    own = own_files.select(*KEY, "path")
+    degrees = edges.groupBy("repo", F.col("source").alias("path")).agg(F.count("*").alias("degree"))
+    known = own.distinct().join(degrees, ["repo", "path"])
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("degree"), "path"))
+    # read by every step below
+    heads = written(
+        known.withColumn("place", place).where(F.col("place") <= files_ahead)
+        .groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("place", "path", "degree"))).alias("files"))
+        .select(*KEY, F.col("files.path").alias("head"), F.col("files")[0]["degree"].alias("degree")), "heads")
+
+    added = (heads.select(*KEY, F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("head")), lambda n: F.slice("head", 1, n))).alias("prefix"))
+        .join(_new_partners(heads, edges), ["repo", "prefix"]).groupBy(*KEY).agg(F.sum("n").alias("n_added")))
+
+    listed = (known.join(heads, KEY).where(~F.array_contains("head", F.col("path")))
+              .select(*KEY, F.col("path").alias("source")).join(edges, ["repo", "source"])
+              .select(*KEY, F.col("partner").alias("path")))
+    asked = (_roles(own, listed).join(heads.select(*KEY, F.explode("head").alias("source")), KEY)
+             .join(edges.select("repo", "source", F.col("partner").alias("path"), F.lit(1).alias("is_ahead")),
+                   ["repo", "source", "path"], "left")
+             .groupBy(*KEY, "path").agg(F.max("is_own").alias("is_own"), F.max("is_listed").alias("is_listed"),
+                                        F.coalesce(F.max("is_ahead"), F.lit(0)).alias("is_ahead")))
+    beyond = asked.groupBy(*KEY).agg(
+        F.sum(F.col("is_listed") * (1 - F.col("is_ahead"))).alias("n_beyond"),
+        F.sum(F.col("is_own") * F.greatest("is_listed", "is_ahead")).alias("n_own"))
+    fan_in = F.col("degree") + F.coalesce("n_added", F.lit(0)) + F.col("n_beyond")
+    return (heads.select(*KEY, "degree").join(added, KEY, "left").join(beyond, KEY)
+            .select(*KEY, fan_in.alias("fan_in"), (fan_in - F.col("n_own")).alias("fan_out")))
 
 
 def history_features(pairs: DataFrame, pair_files: DataFrame, commit_files: DataFrame,
@@ -145,7 +162,8 @@ def history_features(pairs: DataFrame, pair_files: DataFrame, commit_files: Data
     """
     spine = pairs.select(*KEY, "issue_created_at")
     own = written(pair_files.join(spine, KEY), "own_files")
-    commits = recent_commits(commit_files, spine, lookback_days)
+    # file history and coupling both read them
+    commits = written(recent_commits(commit_files, spine, lookback_days), "recent_commits")
     known = own.join(file_history(commits), ["repo", "path"], "left")
     age = durations.age_days(F.col("first_seen"), F.col("issue_created_at"))
     changes = F.coalesce("commits", F.lit(0))

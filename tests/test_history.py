@@ -67,10 +67,9 @@ def expected(pairs, files, commits, lookback, support, max_files):
     return out
 
 
-@pytest.mark.parametrize("seed,hub_degree", [(1, 1000), (2, 3), (3, 0)])
-def test_features_match_plain_python(spark, monkeypatch, seed, hub_degree):
-    monkeypatch.setattr(history, "HUB_DEGREE", hub_degree)
-    monkeypatch.setattr(history.coupling, "__defaults__", (hub_degree,))
+@pytest.mark.parametrize("seed,files_ahead", [(1, 3), (2, 1), (3, 2), (4, 9)])
+def test_features_match_plain_python(spark, monkeypatch, seed, files_ahead):
+    monkeypatch.setattr(history.coupling, "__defaults__", (files_ahead,))
     pairs, files, commits = made_up(seed, hub=True)
     got = history.history_features(
         spark.createDataFrame(pairs, PAIRS), spark.createDataFrame(files, FILES),
@@ -83,6 +82,39 @@ def test_features_match_plain_python(spark, monkeypatch, seed, hub_degree):
         assert r.fan_out == r.change_impact_radius
 
 
+@pytest.mark.parametrize("files_ahead", [1, 2, 5])
+def test_coupling_of_common_files(spark, files_ahead):
+    """Two files with many partners in a third of all pairs, one pair with very many files, repeated rows."""
+    rng = random.Random(files_ahead)
+    edges = {("r", a, f"p{i}") for a, n in (("h1", 400), ("h2", 300)) for i in rng.sample(range(500), n)}
+    edges |= {("r", f"o{k}", p) for k in range(60) for p in rng.sample([f"p{i}" for i in range(500)] + ["h1", "o1", "o2"], 4)}
+    edges |= {("s", "h1", "p1"), (None, "h1", "p2")}
+    own = [("r", n, f) for n in range(60) for f in rng.sample([f"o{k}" for k in range(60)], 3) + (["h1", "h2"] if n % 3 == 0 else [])]
+    own += [("r", 100, f"o{k}") for k in range(60)] + [("r", 100, "h2")] * 2 + [("r", 101, "alone"), ("s", 1, "h1"), ("t", 1, "h1")]
+    want = {}
+    for repo, number, _ in own:
+        mine = {f for r, n, f in own if (r, n) == (repo, number)}
+        partners = {p for r, f, p in edges if r == repo and f in mine}
+        if partners:
+            want[repo, number] = (len(partners), len(partners - mine))
+    got = history.coupling(spark.createDataFrame(own, FILES), spark.createDataFrame(
+        sorted(edges, key=repr), "repo string, source string, partner string").repartition(3), files_ahead)
+    assert {(r.repo, r.issue_number): (r.fan_in, r.fan_out) for r in got.collect()} == want
+    none = history.coupling(spark.createDataFrame([], FILES), spark.createDataFrame([], "repo string, source string, partner string"))
+    assert none.collect() == []
+
+
+def test_a_commit_of_any_size_is_a_short_list(spark):
+    commits = spark.createDataFrame(
+        [("r", 1, START, f"f{i}", 1, 0) for i in range(5000)] + [("r", c, START, p, 1, 0) for c in (2, 3) for p in "ab"]
+        + [("r", None, START, p, 1, 0) for p in "ab"], COMMITS).repartition(4)
+    edges = history.cochange_edges(commits, commits, max_files=2)
+    assert rows_of(edges) == [("r", "a", "b", 3), ("r", "b", "a", 3)]
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    # the limit is taken before commits are shuffled as well as after
+    assert plan.count("WindowGroupLimit") >= 2
+
+
 def test_edges_only_start_at_files_of_interest(spark):
     commits = spark.createDataFrame(
         [("r", c, START, p, 1, 1) for c in (1, 2) for p in ("a", "b", "c")] + [("r", 3, START, "a", 1, 1)], COMMITS)
