@@ -9,7 +9,7 @@ from pacemark.operators import history
 from pacemark.plans import views
 from pacemark.plans.registry import query, tidy
 from pacemark.session import new_table_path, written
-from pacemark.sources import sinks, standins
+from pacemark.sources import history_store, sinks, standins
 from pacemark.sources.schemas import KEY
 
 
@@ -60,6 +60,29 @@ def history_cache_refresh(spark, sf_dir):
     return tidy(sinks.refresh_feature_cache(spark, cache, cache, pairs, compute))
 
 
+@query(f"""WITH {views.COMMIT_FILES}, {views.ORDER_PAIRS},
+bounds AS (SELECT repo, min(created_us) - {fv.LOOKBACK_DAYS} * 86400000000 AS since_us FROM order_pairs
+  WHERE created_us >= 820454400000000 GROUP BY ALL)
+SELECT repo, path, CAST(sum(added) AS BIGINT) AS added, CAST(sum(deleted) AS BIGINT) AS deleted, count(*) AS commits,
+  min(at_us) AS first_us, max(at_us) AS last_us
+FROM commit_files JOIN bounds USING (repo) WHERE at_us >= since_us GROUP BY ALL""")
+def file_history_deliveries(spark, sf_dir):
+    """History of the files since the pairs of 1996 and later, from three deliveries.
+
+    The second repeats half a year of the first, the third is late: commits of winter 1995 to 1996.
+    """
+    pairs, _, commits = _tables(spark, sf_dir)
+    at = F.col("committed_at")
+    late = at.between("1995-11-01", "1996-02-01")
+    store = new_table_path(spark, "history_store")
+    for number, part in enumerate([(at < "1997-01-01") & ~late, (at >= "1996-07-01") & ~late, late]):
+        history_store.add_delivery(store, number, commits.where(part))
+    bounds = history_store.bounds_of(pairs.where(F.col("issue_created_at") >= F.lit("1996-01-01").cast("timestamp")))
+    files = history_store.file_history_since(spark, store, bounds)
+    return files.select("repo", "path", "added", "deleted", "commits", F.unix_micros("first_seen").alias("first_us"),
+                        F.unix_micros("last_modified").alias("last_us"))
+
+
 _BEFORE_SQL = """past AS (
   SELECT p.repo, p.issue_number, o.path, created_us, CAST(coalesce(sum(c.added), 0) AS BIGINT) AS added,
     CAST(coalesce(sum(c.deleted), 0) AS BIGINT) AS deleted, count(c.path) AS commits, max(c.at_us) AS last_us
