@@ -293,3 +293,13 @@ def test_features_before_the_pair(spark):
     assert (got[2].num_files, got[2].commits_before, got[2].days_since_change) == (0, 0, None)
     assert (got[3].num_files, got[3].commits_before) == (1, 0)
     assert history.features_before(pairs.limit(0), files, commits).collect() == []
+
+
+def test_stream_of_history_before_moves_once(spark):
+    own = spark.createDataFrame([("r", 1, "a")], "repo string, issue_number long, path string").withColumn(
+        "issue_created_at", F.lit("2024-01-02").cast("timestamp"))
+    commits = spark.createDataFrame([("r", "a", 1, 2)], "repo string, path string, added long, deleted long").withColumn(
+        "committed_at", F.lit("2023-01-02").cast("timestamp"))
+    past = history.history_before(own, commits)
+    assert "Join" not in past._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.added, r.deleted, r.commits) for r in past.collect()] == [(1, 2, 1)]
