@@ -9,7 +9,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from pacemark.session import ensure_checkpoint_dir, new_table_path, shared_folder
-from pacemark.sources import readers, schemas, sinks
+from pacemark.sources import readers, schemas, sinks, standins
 from pacemark.streaming import ingest
 
 START = dt.datetime(2025, 1, 1)
@@ -187,3 +187,17 @@ def test_the_log_keeps_the_smallest_row_of_a_repeated_key(spark, tmp_path):
     new = spark.createDataFrame([("r", 2, 5, "kept"), ("r", 2, 3, "rejected"), ("r", 2, 3, "failed"), ("r", 1, 0, "failed")], schema)
     sinks.append_checked(spark.read.parquet(path), new.repartition(3), path)
     assert rows_of(spark.read.parquet(path), "issue_number", "at", "outcome") == [(1, 0, "kept"), (2, 3, "failed")]
+
+
+def test_lines_are_dealt_by_order_once(spark, tmp_path):
+    spark.sql("SELECT 1L AS l_orderkey, 2L AS l_suppkey, 3.0D AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT 1L AS o_orderkey, 5L AS o_custkey, timestamp'2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        commits = standins.commit_files(spark, str(tmp_path))
+        # one for the lines and one for the orders
+        assert commits._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert [(r.repo, r.path, r.added, r.deleted) for r in commits.collect()] == [("repo5", "s2", 3, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
