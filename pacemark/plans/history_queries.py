@@ -26,12 +26,12 @@ def file_history(spark, sf_dir):
 @query(f"""WITH {views.COMMIT_FILES}, {views.edges('edges', 'commit_files')}
 SELECT repo, source, partner, n FROM edges""")
 def cochange_edges(spark, sf_dir):
-    commits = written(standins.commit_files(spark, sf_dir), "commit_files")
-    return history.cochange_edges(commits, commits.select("repo", "path"))
+    commits = standins.stored_commits(spark, sf_dir)
+    return history.stored_edges(commits, commits.select("repo", "path"))
 
 
 def _tables(spark, sf_dir):
-    commits = written(standins.commit_files(spark, sf_dir), "commit_files")
+    commits = standins.stored_commits(spark, sf_dir)
     own = commits.select("repo", F.col("commit_id").alias("issue_number"), "path")
     return written(standins.order_pairs(spark, sf_dir), "order_pairs"), own, commits
 

@@ -303,3 +303,22 @@ def test_stream_of_history_before_moves_once(spark):
     past = history.history_before(own, commits)
     assert "Join" not in past._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.added, r.deleted, r.commits) for r in past.collect()] == [(1, 2, 1)]
+
+
+def test_tasks_of_the_coupling_follow_the_rows(spark, monkeypatch):
+    commits = spark.createDataFrame([("r", i, f"f{(i * k) % 90}") for i in range(100) for k in (1, 2, 3)],
+                                    "repo string, commit_id long, path string")
+    plain = {(a, b): n for a, b, n in rows_of(history.cochange_edges(commits, commits), "source", "partner", "n")}
+    setting = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.coalescePartitions.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in setting}
+    monkeypatch.setattr(history, "ROWS_PER_TASK", 10)
+    try:
+        for k, v in setting.items():
+            spark.conf.set(k, v)
+        edges = history.stored_edges(commits, commits)
+        assert {k: spark.conf.get(k) for k in setting} == setting
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(edges.inputFiles()) > 8
+    assert {(a, b): n for a, b, n in rows_of(edges, "source", "partner", "n")} == plain
