@@ -104,6 +104,10 @@ class Shard:
         self.weight = weight * idf[token]
         self.tokens, self.first = np.unique(token, return_index=True)
         self.first = np.append(self.first, len(token))
+        # the tokens of each rest, ascending, by their places in ``tokens``; small numbers sort by digits
+        small = self.doc.astype(np.uint16) if len(rests) <= 1 << 16 else self.doc
+        self.own = np.repeat(np.arange(len(self.tokens)), np.diff(self.first))[np.argsort(small, kind="stable")]
+        self.begin = np.append(0, np.cumsum(np.bincount(self.doc, minlength=len(rests))))
         self.row = np.full(len(self.tokens), -1)
         often = np.flatnonzero(np.diff(self.first) > DENSE * len(rests))
         self.row[often] = np.arange(len(often))
@@ -112,9 +116,13 @@ class Shard:
             span = slice(self.first[t], self.first[t + 1])
             self.dense[k, self.doc[span]] = self.weight[span]
 
-    def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused rests that share a token with the seed, best first."""
-        at = np.searchsorted(self.tokens, np.unique(seed))
+    def places(self, i: int) -> np.ndarray:
+        """Where the tokens of a rest are in ``tokens``."""
+        return self.own[self.begin[i]:self.begin[i + 1]]
+
+    def neighbours(self, seed: np.ndarray, unused: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Unused rests that share a token with the seed, best first; ``at`` are the places of its tokens, if known."""
+        at = np.searchsorted(self.tokens, np.unique(seed)) if at is None else at
         rows = self.row[at]
         scores = np.zeros(len(self.rests))
         for k in rows[rows >= 0]:
@@ -151,14 +159,16 @@ def fill(rests: list[np.ndarray], window: int, idf: np.ndarray, mean: float) ->
             return piece
 
         yield take(seed, int(left[seed]))
-        best = index.neighbours(rests[seed], unused)
-        shortest = int(left[best].min()) if len(best) else 0
-        for i in best:
-            if window - offset < shortest:
+        best = index.neighbours(rests[seed], unused, index.places(seed))
+        lengths = left[best]
+        # the shortest from each place on: where it does not fit, nothing after it does
+        shortest = np.minimum.accumulate(lengths[::-1])[::-1]
+        for i, n, least in zip(best.tolist(), lengths.tolist(), shortest.tolist()):
+            if window - offset < least:
                 break
-            if left[i] <= window - offset:
-                yield take(int(i), int(left[i]))
-        onward = iter([i for i in best if unused[i]][:1])
+            if n <= window - offset:
+                yield take(i, n)
+        onward = iter(best[unused[best]][:1])
         following = seed
         while offset < window:
             i = next(onward, None)

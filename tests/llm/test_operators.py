@@ -588,3 +588,12 @@ def test_pipeline(spark):
     groups = collections.Counter(spaced(given[k] or "") for k in kept)
     assert 0.5 * len(given) < len(kept) < len(given) and max(groups.values()) == 1
     assert not any(i in (given[k] or "") for k in kept for i in items)
+
+
+def test_places_of_a_rest_are_those_of_its_tokens():
+    rng = np.random.default_rng(2)
+    rests = [rng.integers(0, 50, n).astype("<u4") for n in (1, 40, 7, 300)]
+    index, unused = packing.Shard(rests, np.ones(50), 87.0), np.ones(4, dtype=bool)
+    for i, r in enumerate(rests):
+        assert index.tokens[index.places(i)].tolist() == np.unique(r).tolist()
+        assert index.neighbours(r, unused, index.places(i)).tolist() == index.neighbours(r, unused).tolist()
