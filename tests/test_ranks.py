@@ -282,3 +282,21 @@ def test_a_group_column_may_be_called_m(spark):
     df = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, False), ("b", 2.0, True), ("b", 7.0, False)], "m string, v double, test boolean")
     got = {r.m: r.mae_p0 for r in ranks.random_guess_error(df, ["m"], "v", F.col("test")).collect()}
     assert got == {"a": 2.0, "b": 5.0}
+
+
+def test_draws_are_spread_over_tasks_that_follow_their_number(spark, monkeypatch):
+    rows = [("m", i, float(i % 17), i % 2 == 0) for i in range(80)] + [("m", None, 3.0, True), ("m", 80, None, True)]
+    df = spark.createDataFrame(rows, "model string, i long, v double, test boolean").coalesce(1)
+
+    def guessed():
+        return ranks.drawn_guess_error(df, ["model"], "v", F.col("test"), ["i"], 50, 5).collect()
+
+    plain, before = guessed(), spark.conf.get("spark.sql.shuffle.partitions")
+    plans, kept = [], ranks.written
+    monkeypatch.setattr(ranks, "written", lambda d, name: plans.append((name, d._jdf.queryExecution().toString())) or kept(d, name))
+    monkeypatch.setattr(ranks, "DRAWS_PER_TASK", 100)
+    again = guessed()
+    # 41 test rows draw 50 times
+    assert "RoundRobinPartitioning(21)" in dict(plans)["runs"] and spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert [(r.n_test, r.draws) for r in again] == [(r.n_test, r.draws) for r in plain] == [(41, 50)]
+    assert again[0].mae_p0 == pytest.approx(plain[0].mae_p0) and again[0].std_p0 == pytest.approx(plain[0].std_p0)
