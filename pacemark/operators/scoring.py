@@ -12,6 +12,7 @@ from pacemark import fixed_values as fv
 from pacemark.functions import durations
 from pacemark.operators import embeddings, history, learning, text_features
 from pacemark.operators.unions import stacked
+from pacemark.session import written
 from pacemark.sources.readers import path_exists
 from pacemark.sources.schemas import KEY
 from pacemark.sources.sinks import write_metrics
@@ -22,13 +23,20 @@ def save_bundle(trained: learning.Trained, folder: str) -> str:
 
     The second table has one row per split: model, split, metrics, ``feature_names`` and ``params`` (JSON).
     """
-    path = f"{folder}/model_{trained.name.lower()}"
-    trained.model.write().overwrite().save(path)
-    about = learning.split_metrics({trained.name: trained}).withColumns({
-        "feature_names": F.array(*[F.lit(n) for n in trained.feature_names]),
-        "params": F.lit(json.dumps(trained.params, sort_keys=True))})
-    write_metrics(about, f"{path}_about")
-    return path
+    return save_bundles([trained], folder)[0]
+
+
+def save_bundles(trained: list[learning.Trained], folder: str) -> list[str]:
+    """``save_bundle`` of several models of different names; the metrics of all are made together."""
+    measured = written(learning.split_metrics({t.name: t for t in trained}), "split_metrics")
+    paths = [f"{folder}/model_{t.name.lower()}" for t in trained]
+    for t, path in zip(trained, paths):
+        t.model.write().overwrite().save(path)
+        about = measured.where(F.col("model") == t.name).withColumns({
+            "feature_names": F.array(*[F.lit(n) for n in t.feature_names]),
+            "params": F.lit(json.dumps(t.params, sort_keys=True))})
+        write_metrics(about, f"{path}_about")
+    return paths
 
 
 class Bundles:

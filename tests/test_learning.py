@@ -221,6 +221,18 @@ def test_saved_models_score_the_same(spark, trained, training, tmp_path):
         assert out["B", r.issue_number].effort_tier in ("Trivial", "Small", "Medium", "Large", "XL")
 
 
+def test_metrics_of_saved_models_are_made_together(spark, trained, training, tmp_path, monkeypatch):
+    made, metrics = [], learning.split_metrics
+    monkeypatch.setattr(learning, "split_metrics", lambda t: made.append(list(t)) or metrics(t))
+    paths = scoring.save_bundles([trained["A"], trained["B"]], str(tmp_path))
+    assert made == [["A", "B"]] and paths == [f"{tmp_path}/model_a", f"{tmp_path}/model_b"]
+    for name in ("A", "B"):
+        about = scoring.Bundles(spark, str(tmp_path)).about(name).collect()
+        assert {(r.model, r.split) for r in about} == {(name, "train"), (name, "test")}
+        assert {r.split: r.mae for r in about} == pytest.approx(dict(rows_of(metrics({name: trained[name]}), "split", "mae")))
+        assert all(r.feature_names == trained[name].feature_names for r in about)
+
+
 def test_a_saved_projection_comes_back(spark, vectors, tmp_path):
     model = embeddings.fit_reducer(vectors, "pls", 2, "hours", "log_hours")
     model.stages[1].write().overwrite().save(str(tmp_path / "projection"))
