@@ -1,6 +1,7 @@
 """Vector reduction against numpy; training, scoring and importance end to end."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -173,6 +174,24 @@ def test_importance_finds_the_feature_that_matters(trained, training):
     assert shuffled.count() == len(fv.HISTORY_FEATURES) and shuffled.first().feature == "num_files"
 
 
+def test_shuffled_errors_equal_scoring_row_by_row(spark, trained):
+    forest = trained["B"].forest
+    rng = np.random.default_rng(3)
+    own, other = rng.uniform(0, 60, (2, 40, forest.width))
+    hours = [None if i == 7 else float(i) for i in range(40)]
+    cases = spark.createDataFrame([(h, a.tolist(), b.tolist()) for h, a, b in zip(hours, own, other)],
+                                  "hours double, own array<double>, other array<double>").repartition(3)
+    got = dict(rows_of(learning._shuffled_errors(cases.where("hours is not null"), forest), "i", "mae"))
+    assert set(got) == set(range(-1, forest.width))
+    for i, mae in got.items():
+        x = own.copy()
+        if i >= 0:
+            x[:, i] = other[:, i]
+        wanted = [abs(h - max(math.expm1(p), 0)) for h, p in zip(hours, forest.predict(x)) if h is not None]
+        assert mae == pytest.approx(sum(wanted) / len(wanted))
+    assert rows_of(learning._shuffled_errors(cases.limit(0), forest)) == []
+
+
 def test_the_best_setting_wins_and_folds_are_not_seen(trained, training):
     t = trained["B"]
     assert len(t.scores) == 3
